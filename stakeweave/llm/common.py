@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -46,6 +47,12 @@ def dropped(df: DataFrame) -> None:
         path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def released(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffle files of what has been stored: it acts when the driver collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 class WordIds(dict):
     """Word (bytes) -> 64-bit hash; emptied when it reaches `bound` words, so memory stays bounded."""
 

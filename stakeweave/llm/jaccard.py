@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WordIds, ascii_words, connected_components, dropped, stored, window_hashes
+from .common import WordIds, ascii_words, connected_components, dropped, released, stored, window_hashes
 
 FRAGMENTS = 5  # four of infrequent shingles by hash, one of frequent ones
 
@@ -138,8 +138,23 @@ def segments(docs: DataFrame, wanted: DataFrame, order, k: int) -> DataFrame:
     return docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", place.alias("h")).mapInPandas(run, "rep long, s1 long, fragment int, tokens array<long>")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, order, k: int, t: int, tag: str) -> DataFrame:
+def promising(pairs: DataFrame, feats: DataFrame, t: int) -> DataFrame:
+    """The pairs (a, b) whose overlap can suffice, as their prefixes tell.
+
+    All of a set that precedes the end of both prefixes is in both prefixes, so the overlap is at most that
+    of the prefixes plus what one of the sets has beyond its own.
+    """
+    own = feats.filter("doc_id is not null and n > 0").select("doc_id", "n", "prefix")
+    both = pairs.join(own.toDF("b", "n_b", "prefix_b"), "b").join(own.toDF("a", "n_a", "prefix_a"), "a")
+    beyond = F.greatest(F.col("n_a") - F.size("prefix_a"), F.col("n_b") - F.size("prefix_b"))
+    most = F.size(F.array_intersect("prefix_a", "prefix_b")) + beyond
+    return both.filter((100 + t) * most >= t * (F.col("n_a") + F.col("n_b"))).select("a", "b").distinct()
+
+
+def verified(pairs: DataFrame, docs: DataFrame, feats: DataFrame, order, k: int, t: int, tag: str) -> DataFrame:
     """The pairs (a, b) with Jaccard >= t %: partial overlaps fragment by fragment, summed per pair."""
+    pairs = stored(promising(pairs, feats, t), f"{tag}-promising")
+    released(docs.sparkSession)
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
     own = stored(segments(docs, wanted, order, k), f"{tag}-segments")
     sizes = own.groupBy("rep", "s1").agg(F.sum(F.size("tokens")).alias("n"))
@@ -150,6 +165,8 @@ def verified(pairs: DataFrame, docs: DataFrame, order, k: int, t: int, tag: str)
     both = both.join(sizes.toDF("a", "s1_a", "n_a"), ["a", "s1_a"]).join(sizes.toDF("b", "s1_b", "n_b"), ["b", "s1_b"])
     links = stored(both.filter(F.col("shared") * 100 >= t * (F.col("n_a") + F.col("n_b") - F.col("shared"))).select("a", "b").distinct(), f"{tag}-links")
     dropped(own)
+    dropped(pairs)
+    released(docs.sparkSession)
     return links
 
 
@@ -164,6 +181,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, every: in
     per_token = Window.partitionBy("token")
     multi = postings.select("*", F.count("*").over(per_token).alias("size"), F.min(F.struct("rep", "n", "pos")).over(per_token).alias("hub")).filter("size > 1")
     multi = stored(multi.select("token", "rep", "n", "pos", "hub"), "postings")
+    released(docs.sparkSession)
 
     def possible(x, y):
         """What stands from the first shared shingle on suffices for the least overlap, t (n_x + n_y) / (100 + t)."""
@@ -172,7 +190,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, every: in
 
     stars = multi.filter(F.col("rep") != F.col("hub.rep")).filter(possible({"n": F.col("n"), "pos": F.col("pos")}, F.col("hub")))
     stars = stored(stars.select(F.col("hub.rep").alias("a"), F.col("rep").alias("b")).distinct(), "stars")
-    links = verified(stars, docs, order, k, percent, "round1")
+    links = verified(stars, docs, feats, order, k, percent, "round1")
     comp = connected_components(links, "round1")
 
     own = multi.select("token", "rep", "n", "pos").join(comp.toDF("rep", "comp"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
@@ -183,7 +201,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, every: in
     on = (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") != F.col("y.comp")) & (F.col("y.main") | (F.col("x.rep") < F.col("y.rep"))) & possible({c: F.col(f"x.{c}") for c in ("n", "pos")}, {c: F.col(f"y.{c}") for c in ("n", "pos")})
     pairs = x.join(y, on).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
     pairs = stored(pairs.join(stars, ["a", "b"], "left_anti"), "pairs")
-    more = verified(pairs, docs, order, k, percent, "round2")
+    more = verified(pairs, docs, feats, order, k, percent, "round2")
     for old in (multi, stars, mixed, pairs):
         dropped(old)
     if more.limit(1).count():
