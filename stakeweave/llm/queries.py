@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard, licenses, sharding, warc
+from . import jaccard, langid, licenses, pieces, pii, quality, sharding, warc, wrapper
 from .common import table
 
 
@@ -14,15 +14,35 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trip(table(spark, sf_dir, "documents"))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op5_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(table(spark, sf_dir, "documents"))
 
 
+def op6_feistel_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = jaccard.jaccard_components(table(spark, sf_dir, "documents"), k=4, percent=85)
     return out.select("doc_id", "n_shingles", "component_id")
 
 
+def op8_quality_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrapper.extracted(table(spark, sf_dir, "pages"))
+
+
 def op10_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = warc.write_warc(warc.deduplicated(table(spark, sf_dir, "pages")))
     out = warc.read_warc(spark, path, payload="verify")
@@ -54,8 +74,13 @@ FROM d
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_license_scan": op2_license_scan,
+    "op3_sentencepiece": op3_sentencepiece,
+    "op4_language_id": op4_language_id,
     "op5_hash_tree_sharding": op5_hash_tree_sharding,
+    "op6_feistel_pii": op6_feistel_pii,
     "op7_ngram_jaccard": op7_ngram_jaccard,
+    "op8_quality_forest": op8_quality_forest,
+    "op9_wrapper_induction": op9_wrapper_induction,
     "op10_warc_archive": op10_warc_archive,
 }
 
