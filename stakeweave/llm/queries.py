@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard, langid, licenses, pieces, pii, quality, sharding, warc, wrapper
+from . import decontaminate, jaccard, langid, licenses, pieces, pii, quality, sharding, warc, wrapper
 from .common import table
 
 
+def op1_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
@@ -73,6 +77,7 @@ FROM d
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_latent_decontamination": op1_latent_decontamination,
     "op2_license_scan": op2_license_scan,
     "op3_sentencepiece": op3_sentencepiece,
     "op4_language_id": op4_language_id,
