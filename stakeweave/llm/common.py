@@ -47,6 +47,16 @@ def dropped(df: DataFrame) -> None:
         path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+SMALL_ROWS, SMALL_BYTES = 500_000, 32 << 20
+
+
+def small_side(df: DataFrame, tag: str, text: str | None = None) -> DataFrame:
+    """df, stored; marked for broadcast only if its counted rows and the bytes of its text column are below the bounds."""
+    df = stored(df, tag)
+    size = df.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("b") if text else F.lit(0).alias("b")).first()
+    return F.broadcast(df) if size.n <= SMALL_ROWS and size.b <= SMALL_BYTES else df
+
+
 def released(spark: SparkSession) -> None:
     """Let Spark's cleaner delete the shuffle files of what has been stored: it acts when the driver collects garbage."""
     gc.collect()
