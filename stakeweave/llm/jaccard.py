@@ -206,7 +206,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, every: in
         dropped(old)
     if more.limit(1).count():
         comp = connected_components(links.union(more), "round2")
-    named_class = classes.select("s1", "s2", "rep", "n_copies").join(comp.toDF("rep", "comp"), "rep", "left")
+    # stored, so that both sides of the last join are shuffled for it alone and Spark can split a class that many rows share
+    named_class = stored(classes.select("s1", "s2", "rep", "n_copies").join(comp.toDF("rep", "comp"), "rep", "left"), "classes")
     out = feats.select("doc_id", "n", "s1", "s2").join(named_class, ["s1", "s2"], "left")
     return out.select(
         "doc_id",
