@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_side
+
 CHARS, DOCS, BLOCK, CLASSES = 24_000, 64, 512, 96
 PAD, SPACE = 0, 1  # the classes of letters that no training text holds, and of all that isn't a letter
 
@@ -37,7 +39,7 @@ def training_texts(docs: DataFrame, chars: int = CHARS, buckets: int = DOCS) ->
     h = F.xxhash64("doc_id")
     own = docs.filter("doc_id is not null and lang is not null and length(text) > 0").filter(remainder() != 2)
     ids = own.groupBy("lang", F.pmod(h, F.lit(buckets)).alias("bucket")).agg(F.min_by("doc_id", h).alias("doc_id")).select("lang", "doc_id")
-    texts = own.join(ids, ["lang", "doc_id"], "left_semi").select("lang", "doc_id", F.substring("text", 1, chars).alias("text")).dropDuplicates(["lang", "doc_id"])
+    texts = own.join(small_side(ids, "sample", "lang"), ["lang", "doc_id"], "left_semi").select("lang", "doc_id", F.substring("text", 1, chars).alias("text")).dropDuplicates(["lang", "doc_id"])
     out: dict[str, str] = {}
     for lang, rows in texts.toPandas().sort_values(["lang", "doc_id"]).groupby("lang"):
         share = max(1, chars // len(rows))
