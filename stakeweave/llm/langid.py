@@ -108,13 +108,15 @@ class Parser:
         """Phrases of each column of blocks (BLOCK x n classes), for each language. PAD rows count one each."""
         out = np.zeros((len(self.langs), blocks.shape[1]), np.int64)
         for i, table in enumerate(self.tables):
-            state = np.full(blocks.shape[1], len(table) - self.width, np.int32)
+            start = np.int32(len(table) - self.width)
+            begin = np.where(table[: self.width] == 0, start, table[: self.width])  # after a character that no phrase holds, another begins
+            state = np.full(blocks.shape[1], start, np.int32)
             n = np.zeros(blocks.shape[1], np.int32)
             for c in blocks:
                 to = table[state + c]
                 broken = to == 0
                 n += broken
-                state = np.where(broken, table[c], to)
+                state = np.where(broken, begin[c], to)
             out[i] = n
         return out
 
