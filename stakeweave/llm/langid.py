@@ -131,6 +131,7 @@ class Parser:
             flat[s * BLOCK : s * BLOCK + len(c)] = c
         raw = self.phrases(np.ascontiguousarray(flat.reshape(-1, BLOCK).T))
         sums = np.add.reduceat(np.hstack([raw, np.zeros((len(raw), 1), np.int64)]), starts[:-1], axis=1)
+        sums[:, lengths == 0] = 0  # reduceat gives an empty range its first element
         sums -= (n_blocks * BLOCK - lengths)[None, :]  # the padding's own
         return sums * np.array(self.bits)[:, None] / np.maximum(lengths, 1)[None, :]
 
