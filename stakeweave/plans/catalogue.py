@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from stakeweave.functions import names
-from stakeweave.operators import ingest, resolve
-from stakeweave.sources import derived
+from stakeweave.operators import evaluate, ingest, resolve
+from stakeweave.sources import derived, synthetic
 
+from . import cycles
 from . import network as net
 from . import oracles as o
 from .iterate import cut
@@ -394,6 +395,54 @@ def lookup(spark, sf_dir):
     return resolve.lookup(e, "smal ring")
 
 
+@query(o.ctes(o.BASE, o.NAMES, o.RESOLVED) + "SELECT raw, filed_type, etype AS entity_type, key, root FROM resolved")
+def resolved_names(spark, sf_dir):
+    obs, roots, _ = _resolved(spark, sf_dir)
+    return obs.select("raw", "filed_type", "entity_type", "key").join(roots, ["entity_type", "key"])
+
+
+@query(o.ctes(o.BASE, o.NAMES, o.RESOLVED) + "SELECT etype AS entity_type, count(*) AS variants, count(DISTINCT key) AS keys, count(DISTINCT root) AS entities FROM resolved GROUP BY etype")
+def resolution_stats(spark, sf_dir):
+    return resolved_names(spark, sf_dir).groupBy("entity_type").agg(F.count("*").alias("variants"), F.countDistinct("key").alias("keys"), F.countDistinct("root").alias("entities"))
+
+
+@query(NAMED + ", w AS (SELECT unnest([1, 2, 3, 4, 5, 6]) AS width) SELECT width, count(*) AS comparisons, count(*) FILTER (replace(a.key, ' ', '') = replace(b.key, ' ', '')) AS matches FROM w JOIN keyed a ON true JOIN keyed b ON starts_with(b.key, a.key[1:width]) AND a.key < b.key GROUP BY width")
+def blocking_counts(spark, sf_dir):
+    return evaluate.blocking_counts(_keys(spark, sf_dir).withColumn("entity_type", F.lit("x")))
+
+
+@query(o.ctes(o.BASE, o.NAMES) + """, p AS (SELECT a.raw AS a, b.raw AS b FROM raws a JOIN raws b ON a.raw < b.raw AND regexp_extract(a.raw, '[0-9]+') = regexp_extract(b.raw, '[0-9]+')),
+j AS (SELECT lower(regexp_extract(a, '(?i)[a-z]+ [a-z]+ [0-9]+')) = lower(regexp_extract(b, '(?i)[a-z]+ [a-z]+ [0-9]+')) AS truth, """ + f"{o.key('a')} = {o.key('b')}" + """ AS found FROM p)
+SELECT count(*) FILTER (truth AND found) AS tp, count(*) FILTER (NOT truth AND found) AS fp, count(*) FILTER (truth AND NOT found) AS fn, count(*) FILTER (NOT truth AND NOT found) AS tn FROM j""")
+def er_scores(spark, sf_dir):
+    base = F.lower(F.regexp_extract("raw", "(?i)[a-z]+ [a-z]+ [0-9]+", 0))
+    rows = cut(_raws(spark, sf_dir).select("raw", F.regexp_extract("raw", "[0-9]+", 0).alias("n"), base.alias("base"), names.match_key(F.col("raw")).alias("key")))
+    pairs = rows.toDF("a", "n", "base_a", "key_a").join(rows.toDF("b", "n", "base_b", "key_b"), "n").filter("a < b")
+    return evaluate.scores(pairs.select((F.col("base_a") == F.col("base_b")).alias("truth"), (F.col("key_a") == F.col("key_b")).alias("found"))).select("tp", "fp", "fn", "tn")
+
+
+@query()
+def threshold_sweep(spark, sf_dir):
+    return evaluate.threshold_sweep(block_pairs(spark, sf_dir))
+
+
+@query()
+def back_edges(spark, sf_dir):
+    return cycles.back_edges(network(spark, sf_dir)[1])
+
+
+@query()
+def synthetic_network(spark, sf_dir):
+    return synthetic.network(spark, derived.table(spark, sf_dir, "customer").count())[1]
+
+
+@query(CHAINS + "SELECT DISTINCT owner, nodes[i + 1] AS holder, nodes[i] AS held FROM (SELECT terminal AS owner, nodes, unnest(range(1, len(nodes))) AS i FROM chain WHERE end_reason IN ('no_recorded_owner', 'natural_person'))")
+def owner_subgraph(spark, sf_dir):
+    found = net.chains(*network(spark, sf_dir)).filter(F.col("end_reason").isin(*net.OWNER_ENDS))
+    step = F.explode(F.sequence(F.lit(1), F.size("path") - 1)).alias("i")
+    return found.select(F.col("terminal").alias("owner"), "path", step).select("owner", F.element_at("path", F.col("i") + 1).alias("holder"), F.element_at("path", F.col("i")).alias("held")).distinct()
+
+
 # rows
 
 ROWS = """

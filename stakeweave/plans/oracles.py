@@ -84,3 +84,16 @@ filed AS MATERIALIZED (SELECT CASE (holder_id + held_id) % 6 WHEN 0 THEN base ||
   UNION ALL SELECT base || ' Company Ltd', 'corporate', true FROM rel JOIN parts ON key = held_id),
 raws AS MATERIALIZED (SELECT DISTINCT raw FROM filed),
 keyed AS MATERIALIZED (SELECT DISTINCT {key} AS key FROM raws)""".replace("{key}", key("raw"))
+
+RESOLVED = """
+told AS (SELECT DISTINCT raw, filed_type, CASE WHEN contains(raw, ', Trustee of ') THEN 'corporate' ELSE filed_type END AS etype, CASE WHEN contains(raw, ', Trustee of ') THEN regexp_extract(raw, ', Trustee of (.*)$', 1) ELSE raw END AS held_as FROM filed),
+tk AS MATERIALIZED (SELECT raw, filed_type, etype, {key} AS key FROM told),
+tkey AS MATERIALIZED (SELECT DISTINCT etype, key FROM tk),
+tpair AS (SELECT a.etype, a.key AS a, b.key AS b, string_split(a.key, ' ') AS x, string_split(b.key, ' ') AS y FROM tkey a JOIN tkey b ON a.etype = b.etype AND starts_with(b.key, a.key[1:3]) AND a.key < b.key),
+tword AS (SELECT etype, a, b, x, x[i] AS p, y[i] AS q FROM (SELECT *, unnest(range(1, len(x) + 1)) AS i FROM tpair WHERE len(x) = len(y))),
+tlink AS (SELECT etype, a, b FROM tword GROUP BY etype, a, b, x HAVING bool_and(p = q OR least(len(p), len(q)) > 3 AND NOT regexp_matches(p || q, '[0-9]') AND 1 - levenshtein(p, q) / greatest(len(p), len(q)) >= 0.8) AND 2 * count(*) FILTER (p <> q) <= len(x)
+  UNION SELECT etype, a, b FROM tpair WHERE replace(a, ' ', '') = replace(b, ' ', '')
+  UNION SELECT etype, a, b FROM (SELECT a.etype, a.key AS a, min(b.key) AS b, count(*) AS n FROM tkey a JOIN tkey b ON a.etype = b.etype AND starts_with(b.key, a.key) AND a.key <> b.key WHERE len(a.key) >= 15 GROUP BY a.etype, a.key) WHERE n = 1 AND b[len(a) + 1] <> ' '),
+tsym AS (SELECT etype, a, b FROM tlink UNION SELECT etype, b, a FROM tlink),
+treach AS (SELECT etype, key AS a, key AS b FROM tkey UNION SELECT r.etype, r.a, s.b FROM treach r JOIN tsym s ON s.etype = r.etype AND s.a = r.b),
+resolved AS (SELECT tk.*, m.root FROM tk JOIN (SELECT etype, a AS key, min(b) AS root FROM treach GROUP BY ALL) m USING (etype, key))""".replace("{key}", key("held_as"))
