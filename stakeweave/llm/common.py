@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import gc
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,10 +68,37 @@ def released(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+BATCH_ROWS = 2000  # a batch of the longest texts still fits a Python worker
+ROWS_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def mapped(df: DataFrame, run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema) -> DataFrame:
+    """mapInPandas with bounded memory: batches of at most BATCH_ROWS rows (a setting of the session, only ever
+    lowered), and workers, which Spark reuses, hand back what they have freed when a task ends."""
+    spark = df.sparkSession
+    if not 0 < int(spark.conf.get(ROWS_CONF)) <= BATCH_ROWS:
+        spark.conf.set(ROWS_CONF, str(BATCH_ROWS))
+
+    def tidy(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        try:
+            yield from run(batches)
+        finally:
+            hand_back()
+
+    return df.mapInPandas(tidy, schema)
+
+
+def hand_back() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 class WordIds(dict):
     """Word (bytes) -> 64-bit hash; emptied when it reaches `bound` words, so memory stays bounded."""
 
-    def __init__(self, bound: int = 400_000):
+    def __init__(self, bound: int = 200_000):
         super().__init__()
         self.bound = bound
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WordIds, ascii_words, connected_components, dropped, released, stored, window_hashes
+from .common import WordIds, ascii_words, connected_components, dropped, mapped, released, stored, window_hashes
 
 FRAGMENTS = 5  # four of infrequent shingles by hash, one of frequent ones
 
@@ -73,7 +73,7 @@ def frequent_shingles(docs: DataFrame, k: int, every: int, most: int) -> np.ndar
             yield pd.DataFrame({"token": tokens.view(np.int64), "n": n})
 
     part = docs.filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % every == 0).select("text")
-    top = part.mapInPandas(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).filter("n >= 3").orderBy(F.desc("n"), "token").limit(most)
+    top = mapped(part, count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).filter("n >= 3").orderBy(F.desc("n"), "token").limit(most)
     rows = top.toPandas()
     return rows["token"].to_numpy(np.int64)[::-1].copy().view(np.uint64)
 
@@ -96,7 +96,7 @@ def features(docs: DataFrame, order, k: int, t: int) -> DataFrame:
                 out["prefix"].append(np.concatenate([rare[:size], often[: max(0, size - len(rare))]]).view(np.int64))
             yield pd.DataFrame(out)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, n long, s1 long, s2 long, prefix array<long>")
+    return mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, n long, s1 long, s2 long, prefix array<long>")
 
 
 def segments(docs: DataFrame, wanted: DataFrame, order, k: int) -> DataFrame:
@@ -135,7 +135,7 @@ def segments(docs: DataFrame, wanted: DataFrame, order, k: int) -> DataFrame:
     place = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(bits))
     # position p (0-based) of the bitmap: bucket b holds p in [(b-1)*32768 + 1 .. b*32768]
     place = (F.bitmap_bucket_number(place) - 1) * 32768 + F.bitmap_bit_position(place) + 1
-    return docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", place.alias("h")).mapInPandas(run, "rep long, s1 long, fragment int, tokens array<long>")
+    return mapped(docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", place.alias("h")), run, "rep long, s1 long, fragment int, tokens array<long>")
 
 
 def promising(pairs: DataFrame, feats: DataFrame, t: int) -> DataFrame:

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_side
+from .common import mapped, small_side
 
 CHARS, DOCS, BLOCK, CLASSES = 24_000, 64, 512, 96
 PAD, SPACE = 0, 1  # the classes of letters that no training text holds, and of all that isn't a letter
@@ -169,4 +169,4 @@ def identify(docs: DataFrame, chars: int = CHARS, buckets: int = DOCS) -> DataFr
                     todo, held = [], 0
             yield batch.assign(lang_pred=lang, score=score, bits=bits)
 
-    return rows.mapInPandas(run, "doc_id long, held_out boolean, lang_pred string, score double, bits double")
+    return mapped(rows, run, "doc_id long, held_out boolean, lang_pred string, score double, bits double")

@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import mapped
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 KNOWN = 300_000  # words kept between batches
@@ -152,7 +154,7 @@ def encoded(docs: DataFrame, model: str = MODEL) -> DataFrame:
                 ids = list(encoder.encode(part["text"].tolist()))
                 yield part[columns].assign(input_ids=ids, n_tokens=[len(x) for x in ids])
 
-    return docs.drop("input_ids", "n_tokens").mapInPandas(run, schema)
+    return mapped(docs.drop("input_ids", "n_tokens"), run, schema)
 
 
 def decoded(rows: DataFrame, model: str = MODEL) -> DataFrame:
@@ -165,7 +167,7 @@ def decoded(rows: DataFrame, model: str = MODEL) -> DataFrame:
         for batch in batches:
             yield batch[columns].assign(text=[None if x is None else pieces.value.decode(x.tolist()) for x in batch["input_ids"]])
 
-    return rows.drop("text").mapInPandas(run, T.StructType([*kept, T.StructField("text", T.StringType())]))
+    return mapped(rows.drop("text"), run, T.StructType([*kept, T.StructField("text", T.StringType())]))
 
 
 def round_trip(docs: DataFrame, model: str = MODEL) -> DataFrame:
@@ -182,4 +184,4 @@ def round_trip(docs: DataFrame, model: str = MODEL) -> DataFrame:
                 out.append((doc_id, len(t or ""), len(ids), zlib.crc32(ids.tobytes()), back == (t or "").replace(MARK, " ")))
             yield pd.DataFrame(out, columns=["doc_id", "n_chars", "n_tokens", "ids_crc32", "exact"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, n_chars long, n_tokens long, ids_crc32 long, exact boolean")
+    return mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, n_chars long, n_tokens long, ids_crc32 long, exact boolean")

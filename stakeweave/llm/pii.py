@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import mapped
+
 ROUNDS = 8
 KEY = b"stakeweave pseudonyms"  # callers pass their own
 NUMBER = re.compile(
@@ -228,4 +230,4 @@ def pseudonymised(docs: DataFrame, key: bytes = KEY, inverse: bool = False) -> D
             batch["pii_kinds"] = [",".join(f"{k}:{n}" for k, n in sorted(ks.items())) for _, ks in both]
             yield batch[names]
 
-    return docs.drop("n_pii", "pii_kinds").withColumn("text", F.col("text")).mapInPandas(run, schema)
+    return mapped(docs.drop("n_pii", "pii_kinds"), run, schema)

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordIds, stored, window_hashes
+from .common import WordIds, mapped, stored, window_hashes
 
 SAMPLE, TREES, GROWN_ON, DEPTH = 4096, 128, 256, 10
 SYMBOLS = "#*$%&|<>"
@@ -75,7 +75,7 @@ def measured(docs: DataFrame) -> DataFrame:
             out["x"] = [f for _, f in both]
             yield out
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, f"{BASE}, x array<double>")
+    return mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, f"{BASE}, x array<double>")
 
 
 def mean_path(n: int) -> float:
@@ -154,7 +154,7 @@ def judged(docs: DataFrame, labels: DataFrame, spare: float = 0.005, bins: int =
             batch["score"] = forest.value.score(x) if len(x) else 0.0
             yield batch
 
-    scored = rows.mapInPandas(run, f"{BASE}, score double")
+    scored = mapped(rows, run, f"{BASE}, score double")
     counts = scored.join(marks, "doc_id").groupBy("quality", F.floor(F.col("score") * bins).alias("bin")).agg(F.count("*").alias("n")).toPandas()
     by = {q: np.bincount(g["bin"].astype(int), g["n"], bins + 1) for q, g in counts.groupby("quality")}
     threshold = 2.0
