@@ -46,7 +46,7 @@ def in_scope(rows: DataFrame, anchors: list[str]) -> DataFrame:
 
 def labelled_pairs(spark: SparkSession, path: str) -> DataFrame:
     """name_a, name_b, band, same_entity of a CSV; a label other than 0 or 1 stops the job."""
-    rows = spark.read.csv(path, header=True)
+    rows = spark.read.csv(path, header=True, escape='"')
     label = F.when(F.trim("same_entity").isin("0", "1"), F.trim("same_entity")).otherwise(F.raise_error(F.concat(F.lit("not a label: "), F.coalesce("same_entity", F.lit("null")))))
     return rows.withColumn("same_entity", label.cast("int"))
 
@@ -54,7 +54,7 @@ def labelled_pairs(spark: SparkSession, path: str) -> DataFrame:
 def write_csv(rows: DataFrame, path: str) -> None:
     """A CSV sink: arrays and structs as JSON text."""
     flat = [F.to_json(f.name).alias(f.name) if f.dataType.typeName() in ("array", "struct", "map") else F.col(f.name) for f in rows.schema]
-    rows.select(flat).write.mode("overwrite").csv(path, header=True)
+    rows.select(flat).write.mode("overwrite").csv(path, header=True, escape='"')
 
 
 def write_json(rows: DataFrame, path: str) -> None:
