@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from stakeweave.functions.names import holding_entity, holding_type, match_key, token_match
-from stakeweave.plans.iterate import cut
+from stakeweave.plans.iterate import cut, placed
 from stakeweave.plans.network import least_labels
 
 BLOCK, TRUNCATED = 3, 15  # leading characters of a block; least length of a key that may be cut off
@@ -107,13 +107,9 @@ def entities(obs: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def numbered(rows: DataFrame) -> DataFrame:
-    """entity_id E0001... in the order of (lower name, type, first variant); numbers are dealt range by range, not in one task."""
-    order = [F.lower("name"), F.col("entity_type"), F.col("variants")[0]]
-    rows = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()))
-    counts = rows.groupBy("part").agg(F.count("*").alias("size"))
-    before = counts.select("part", (F.sum("size").over(Window.orderBy("part")) - F.col("size")).alias("before"), F.sum("size").over(Window.partitionBy(F.lit(0))).alias("total"))
-    place = F.row_number().over(Window.partitionBy("part").orderBy(*order)) + F.col("before")
-    return rows.join(F.broadcast(before), "part").withColumn("entity_id", F.concat(F.lit("E"), F.lpad(place.cast("string"), F.length(F.col("total").cast("string")) + 1, "0")))
+    """entity_id E0001... in the order of (lower name, type, first variant)."""
+    rows = placed(rows, F.lower("name"), F.col("entity_type"), F.col("variants")[0])
+    return rows.withColumn("entity_id", F.concat(F.lit("E"), F.lpad(F.col("place").cast("string"), F.length(F.col("total").cast("string")) + 1, "0")))
 
 
 def segments_of(key: Column, r: Column) -> Column:

@@ -16,7 +16,7 @@ from stakeweave.sources import derived, synthetic
 from . import cycles
 from . import network as net
 from . import oracles as o
-from .iterate import cut
+from .iterate import cut, placed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -491,7 +491,7 @@ def missed_pairs(spark, sf_dir):
 @query(R + "SELECT id FROM (SELECT id, row_number() OVER (ORDER BY id) AS place FROM (SELECT 'S' || s_suppkey AS id FROM supplier)) WHERE (place - 1) % 7 = 0")
 def systematic_sample(spark, sf_dir):
     rows = derived.table(spark, sf_dir, "supplier").select(F.format_string("S%d", "s_suppkey").alias("id"))
-    return rows.withColumn("place", F.row_number().over(Window.orderBy("id"))).filter("(place - 1) % 7 = 0").select("id")
+    return placed(rows, F.col("id")).filter("(place - 1) % 7 = 0").select("id")
 
 
 @query(R + "SELECT round(regr_slope(ln(n), ln(d)), 6) AS slope, round(sum(n * d) / sum(d * d), 6) AS through_origin FROM (SELECT held, count(*) AS n, sum(stake) AS d FROM edges GROUP BY held)")
