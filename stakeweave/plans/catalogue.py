@@ -16,6 +16,7 @@ from stakeweave.sources import derived, synthetic
 from . import cycles
 from . import network as net
 from . import oracles as o
+from . import report
 from .iterate import cut, placed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -111,6 +112,18 @@ def dominant_route(spark, sf_dir):
     return found.withColumn("rank", rank).filter("rank = 1").select("company", F.col("terminal").alias("owner"), "path", F.col("layers").cast("long").alias("layers"))
 
 
+@query(CHAINS + """SELECT company, path AS chain_ids, round(effective * 100, 6) AS effective_pct, end_reason,
+company || string_agg(' <-[' || CASE WHEN stake >= 0.0001 THEN printf('%.2f%%', stake * 100) ELSE printf('%.4f%%', stake * 100) END || ']- ' || holder, '' ORDER BY i) AS chain
+FROM (SELECT company, path, effective, end_reason, nodes, unnest(range(1, len(nodes))) AS i FROM chain) c JOIN edges e ON e.held = c.nodes[i] AND e.holder = c.nodes[i + 1] GROUP BY company, path, effective, end_reason""")
+def chain_report(spark, sf_dir):
+    return report.chain_report(*network(spark, sf_dir)).select("company", "chain_ids", "effective_pct", "end_reason", "chain")
+
+
+@query()
+def control_depth(spark, sf_dir):
+    return report.anomaly_report(*network(spark, sf_dir))["control_depth"]
+
+
 LEVELS = o.ctes(o.BASE, o.LEVELS)
 
 
