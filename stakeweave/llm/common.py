@@ -98,7 +98,7 @@ def hand_back() -> None:
 class WordIds(dict):
     """Word (bytes) -> 64-bit hash; emptied when it reaches `bound` words, so memory stays bounded."""
 
-    def __init__(self, bound: int = 200_000):
+    def __init__(self, bound: int = 100_000):
         super().__init__()
         self.bound = bound
 

@@ -26,8 +26,8 @@ from .common import mapped
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-KNOWN = 300_000  # words kept between batches
-CHUNK = 2_000_000  # characters encoded at once
+KNOWN = 100_000  # words kept between batches
+CHUNK = 500_000  # characters encoded at once
 UNKNOWN = 10.0  # an unknown character scores this much below the worst piece
 
 
