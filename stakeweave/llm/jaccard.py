@@ -148,7 +148,8 @@ def promising(pairs: DataFrame, feats: DataFrame, t: int) -> DataFrame:
     both = pairs.join(own.toDF("b", "n_b", "prefix_b"), "b").join(own.toDF("a", "n_a", "prefix_a"), "a")
     beyond = F.greatest(F.col("n_a") - F.size("prefix_a"), F.col("n_b") - F.size("prefix_b"))
     most = F.size(F.array_intersect("prefix_a", "prefix_b")) + beyond
-    return both.filter((100 + t) * most >= t * (F.col("n_a") + F.col("n_b"))).select("a", "b").distinct()
+    both = both.filter((100 + t) * most >= t * (F.col("n_a") + F.col("n_b"))).select("a", "b")
+    return both.hint("rebalance").distinct()  # dealt anew, so that the join needn't keep its keys together and Spark can split a hub's pairs
 
 
 def verified(pairs: DataFrame, docs: DataFrame, feats: DataFrame, order, k: int, t: int, tag: str) -> DataFrame:
