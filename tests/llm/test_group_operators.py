@@ -5,6 +5,7 @@ import hashlib
 import random
 
 import corpus_pipeline
+import numpy as np
 import pytest
 
 from stakeweave.llm import decontaminate, jaccard, warc, wrapper
@@ -91,6 +92,39 @@ def test_recall_of_the_latent_index_on_planted_items(spark):
     assert want and len(want & got) >= 0.9 * len(want)
 
 
+def test_recall_does_not_fall_as_the_benchmark_grows(spark):
+    rng = random.Random(5)
+    long = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").filter("length(text) > 1500").orderBy("doc_id").limit(1600).collect()
+    texts = [decontaminate.words(r.text) for r in long]
+    items, rows, want = [], [], {"verbatim": set(), "changed": set()}
+    for i in range(800):
+        size, w = rng.randrange(15, 60), texts[i]
+        at = rng.randrange(max(1, len(w) - size))
+        items.append((i, " ".join(w[at : at + size])))
+        own, host = w[at : at + size], texts[800 + i % (len(texts) - 800)][:400]
+        if i % 2:
+            for j in rng.sample(range(len(own)), len(own) // 5):
+                own[j] = rng.choice(host)
+        place = rng.randrange(len(host))
+        rows.append((i, " ".join(host[:place] + own + host[place:]), "en", "s", 1))
+        want["changed" if i % 2 else "verbatim"].add((i, i))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(spark.createDataFrame(rows, DOCS), bench).collect()}
+    share = {kind: len(pairs & got) / len(pairs) for kind, pairs in want.items()}
+    assert min(share.values()) >= 0.9, share
+
+
+def test_badly_represented_items_get_directions_of_their_own():
+    rng = np.random.default_rng(1)
+    items = [rng.integers(1, 400, 30) for _ in range(40)]
+    basis = np.linalg.qr(rng.standard_normal((401, 8)))[0]
+    whole = decontaminate.completed(basis, items, np.ones(401))
+    assert np.allclose(whole.T @ whole, np.eye(whole.shape[1]))
+    for own in items:
+        x = np.bincount(own, minlength=401)
+        assert np.linalg.norm(x @ whole) >= decontaminate.SHARE * np.linalg.norm(x)
+
+
 PAGE = """<!DOCTYPE html><html><head><title>t</title><script>var a = "</p>";</script></head><body class="has-sidebar">
 <header><h1>Site</h1></header><nav><ul><li><a href="/">Home</a><li>News</ul></nav><div class="cookie-notice">We use cookies</div><!-- x -->
 <article><h1>{title} &amp; more</h1><p>First  <b>bold</b>&nbsp;{body}<br>line<p>5 < 6 &#x41;<div class="ad">Buy</div><form><input>Send</form><div id="comments"><p>nice</div></article>
