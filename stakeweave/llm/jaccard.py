@@ -99,8 +99,8 @@ def features(docs: DataFrame, order, k: int, t: int) -> DataFrame:
     return mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, n long, s1 long, s2 long, prefix array<long>")
 
 
-def segments(docs: DataFrame, wanted: DataFrame, order, k: int) -> DataFrame:
-    """(rep, s1, fragment, tokens) of the documents in wanted(rep).
+def segments(docs: DataFrame, wanted: DataFrame, order, k: int, repeats: bool) -> DataFrame:
+    """(rep, s1, fragment, tokens) of the documents in wanted(rep), once each, also if repeats (rows may share a doc_id).
 
     A bitmap of fixed size (2^24 bits) passes them, and some others, so that only their sets are made and
     moved; the joins that follow are on the ids themselves.
@@ -135,7 +135,8 @@ def segments(docs: DataFrame, wanted: DataFrame, order, k: int) -> DataFrame:
     place = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(bits))
     # position p (0-based) of the bitmap: bucket b holds p in [(b-1)*32768 + 1 .. b*32768]
     place = (F.bitmap_bucket_number(place) - 1) * 32768 + F.bitmap_bit_position(place) + 1
-    return mapped(docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", place.alias("h")), run, "rep long, s1 long, fragment int, tokens array<long>")
+    own = mapped(docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", place.alias("h")), run, "rep long, s1 long, fragment int, tokens array<long>")
+    return own.dropDuplicates(["rep", "s1", "fragment"]) if repeats else own
 
 
 def promising(pairs: DataFrame, feats: DataFrame, t: int) -> DataFrame:
@@ -152,12 +153,12 @@ def promising(pairs: DataFrame, feats: DataFrame, t: int) -> DataFrame:
     return both.hint("rebalance").distinct()  # dealt anew, so that the join needn't keep its keys together and Spark can split a hub's pairs
 
 
-def verified(pairs: DataFrame, docs: DataFrame, feats: DataFrame, order, k: int, t: int, tag: str) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, feats: DataFrame, order, k: int, t: int, repeats: bool, tag: str) -> DataFrame:
     """The pairs (a, b) with Jaccard >= t %: partial overlaps fragment by fragment, summed per pair."""
     pairs = stored(promising(pairs, feats, t), f"{tag}-promising")
     released(docs.sparkSession)
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-    own = stored(segments(docs, wanted, order, k), f"{tag}-segments")
+    own = stored(segments(docs, wanted, order, k, repeats), f"{tag}-segments")
     sizes = own.groupBy("rep", "s1").agg(F.sum(F.size("tokens")).alias("n"))
     right = own.select(F.col("rep").alias("b"), F.col("s1").alias("s1_b"), "fragment", F.col("tokens").alias("tokens_b"))
     left = own.join(pairs.select(F.col("a").alias("rep")).distinct(), "rep", "left_semi").select(F.col("rep").alias("a"), F.col("s1").alias("s1_a"), "fragment", "tokens")
@@ -177,6 +178,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, every: in
     order = sc.broadcast(Order(frequent_shingles(docs, k, every, frequent)))
     feats = stored(features(docs, order, k, percent), "feats")
     named = feats.filter("doc_id is not null and n > 0")
+    repeats = bool(named.groupBy("doc_id").count().filter("count > 1").limit(1).count())
     classes = named.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.count("*").alias("n_copies"))
     postings = classes.select("rep", "n", F.posexplode("prefix").alias("pos", "token"))
     per_token = Window.partitionBy("token")
@@ -191,7 +193,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, every: in
 
     stars = multi.filter(F.col("rep") != F.col("hub.rep")).filter(possible({"n": F.col("n"), "pos": F.col("pos")}, F.col("hub")))
     stars = stored(stars.select(F.col("hub.rep").alias("a"), F.col("rep").alias("b")).distinct(), "stars")
-    links = verified(stars, docs, feats, order, k, percent, "round1")
+    links = verified(stars, docs, feats, order, k, percent, repeats, "round1")
     comp = connected_components(links, "round1")
 
     own = multi.select("token", "rep", "n", "pos").join(comp.toDF("rep", "comp"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
@@ -202,7 +204,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, every: in
     on = (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") != F.col("y.comp")) & (F.col("y.main") | (F.col("x.rep") < F.col("y.rep"))) & possible({c: F.col(f"x.{c}") for c in ("n", "pos")}, {c: F.col(f"y.{c}") for c in ("n", "pos")})
     pairs = x.join(y, on).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
     pairs = stored(pairs.join(stars, ["a", "b"], "left_anti"), "pairs")
-    more = verified(pairs, docs, feats, order, k, percent, "round2")
+    more = verified(pairs, docs, feats, order, k, percent, repeats, "round2")
     for old in (multi, stars, mixed, pairs):
         dropped(old)
     if more.limit(1).count():

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import zlib
 
 import corpus_pipeline
 import numpy as np
@@ -58,6 +59,17 @@ def test_components_by_brute_force(spark, k, t, every):
     assert jaccard.jaccard_components(docs.limit(0), k, t).count() == 0
 
 
+def test_a_repeated_long_row_links_nothing_new(spark):
+    rows, ids = [], [i for i in range(40) if zlib.crc32(str(i).encode()) % 16]  # not of the sample that ranks frequent shingles
+    for g, times in enumerate([(2, 1), (1, 2), (2, 2)]):
+        w = [f"w{g}x{i}" for i in range(104)]
+        near = w[:86] + [f"v{g}x{i}" for i in range(18)]  # 100 shingles of five words each, 82 shared: Jaccard 0.69
+        for side, text in enumerate((w, near)):
+            rows += [(ids[2 * g + side], " ".join(text), "en", "s", 1)] * times[side]
+    got = jaccard.jaccard_components(spark.createDataFrame(rows, DOCS), 5, 80).collect()
+    assert len(got) == len(rows) and all((r.n_shingles, r.component_id) == (100, r.doc_id) for r in got)
+
+
 def test_decontamination_finds_verbatim_and_paraphrase_only(spark):
     rng = random.Random(2)
     vocabulary = ["the", "of", "and"] + ["".join(rng.choices("abcdefghij", k=rng.randrange(3, 9))) for _ in range(900)]
