@@ -161,6 +161,14 @@ def test_wrapper_without_semantic_tags():
     assert "story 2" in text and "and more 4" in text and "Welcome" not in text and "reserved" not in text
 
 
+def test_headline_and_lead_beside_the_body_stay():
+    page = '<html><body><div class="top">Welcome</div><div class="wrap"><h1>title {i}</h1><p>lead {i}</p><div class="content"><p>{body}</p></div></div><ul><li><a href="/">other {i}</a></ul>{more}</body></html>'
+    pages = [page.format(i=i, body=f"long body of {i} " * 40, more="") for i in range(5)]
+    w = wrapper.induce(pages)
+    assert wrapper.extract(pages[2], w) == f"title 2\n\nlead 2\n\n{('long body of 2 ' * 40).strip()}"
+    assert wrapper.extract(page.format(i=9, body="b", more="<div>By someone</div>"), w) == "title 9\n\nlead 9\n\nb\n\nBy someone"
+
+
 def test_simple_tree_matching():
     def tree(label, *children):
         s = wrapper.Slot(label, False)
