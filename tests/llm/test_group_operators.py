@@ -169,6 +169,17 @@ def test_headline_and_lead_beside_the_body_stay():
     assert wrapper.extract(page.format(i=9, body="b", more="<div>By someone</div>"), w) == "title 9\n\nlead 9\n\nb\n\nBy someone"
 
 
+def test_constants_on_hosts_of_mixed_layout(spark):
+    story = '<body><div class="top">Welcome</div><article><h1>title {i}</h1><p>story {i} goes on</p><div class="note">Paid links</div><blockquote>a shared passage</blockquote></article></body>'
+    bare = '<body><div class="top">Welcome</div><div class="c"><h1>title {i}</h1><p>bare {i}</p></div><div class="end">All rights ours</div></body>'
+    copy = '<body><article><h1>copy {i}</h1><div class="text">the same long text on every page</div></article></body>'
+    rows = [(i, f"http://{'c' if i >= 200 else 'm'}.example.com/{i}", page.format(i=i)) for start, page in ((0, story), (100, bare), (200, copy)) for i in range(start, start + 30)]
+    for r in wrapper.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect():
+        i = r.page_id
+        want = (f"title {i}", f"story {i} goes on", "a shared passage") if i < 100 else (f"title {i}", f"bare {i}") if i < 200 else (f"copy {i}", "the same long text on every page")
+        assert r.text == "\n\n".join(want)
+
+
 def test_simple_tree_matching():
     def tree(label, *children):
         s = wrapper.Slot(label, False)
