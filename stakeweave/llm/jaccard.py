@@ -106,7 +106,7 @@ def segments(docs: DataFrame, wanted: DataFrame, order, k: int, repeats: bool) -
     moved; the joins that follow are on the ids themselves.
     """
     bits = 1 << 24
-    h = F.pmod(F.xxhash64("rep"), F.lit(bits))
+    h = F.pmod(F.xxhash64("rep"), F.lit(bits)) + 1  # 1 .. bits, as position 0 has a bucket of its own
     rows = wanted.groupBy(F.bitmap_bucket_number(h).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(h)).alias("map")).collect()
     passed = np.zeros(bits // 8 + 4096, np.uint8)
     for row in rows:
@@ -132,7 +132,7 @@ def segments(docs: DataFrame, wanted: DataFrame, order, k: int, repeats: bool) -
                     out = []
             yield pd.DataFrame(out, columns=["rep", "s1", "fragment", "tokens"])
 
-    place = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(bits))
+    place = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(bits)) + 1
     # position p (0-based) of the bitmap: bucket b holds p in [(b-1)*32768 + 1 .. b*32768]
     place = (F.bitmap_bucket_number(place) - 1) * 32768 + F.bitmap_bit_position(place) + 1
     own = mapped(docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", place.alias("h")), run, "rep long, s1 long, fragment int, tokens array<long>")

@@ -70,6 +70,14 @@ def test_a_repeated_long_row_links_nothing_new(spark):
     assert len(got) == len(rows) and all((r.n_shingles, r.component_id) == (100, r.doc_id) for r in got)
 
 
+def test_ids_at_the_ends_of_the_bitmap(spark):
+    ids = [25317696, 1, 2]  # xxhash64 of the first is 0 modulo 2^24
+    docs = spark.createDataFrame([(i, f"some words of {i} here", "en", "s", 1) for i in ids], DOCS)
+    order = spark.sparkContext.broadcast(jaccard.Order(np.empty(0, np.uint64)))
+    wanted = spark.createDataFrame([(i,) for i in ids[:2]], "rep long")
+    assert {r.rep for r in jaccard.segments(docs, wanted, order, 5, False).collect()} == set(ids[:2])
+
+
 def test_decontamination_finds_verbatim_and_paraphrase_only(spark):
     rng = random.Random(2)
     vocabulary = ["the", "of", "and"] + ["".join(rng.choices("abcdefghij", k=rng.randrange(3, 9))) for _ in range(900)]
