@@ -68,16 +68,17 @@ def released(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-BATCH_ROWS = 2000  # a batch of the longest texts still fits a Python worker
-ROWS_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
+ROWS_CONF, BYTES_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def mapped(df: DataFrame, run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema) -> DataFrame:
-    """mapInPandas with bounded memory: batches of at most BATCH_ROWS rows (a setting of the session, only ever
-    lowered), and workers, which Spark reuses, hand back what they have freed when a task ends."""
+    """mapInPandas with bounded memory: a batch ends at BATCH_ROWS rows or with the row that reaches BATCH_BYTES (settings of
+    the session), and workers, which Spark reuses, hand back what they have freed when a task ends."""
     spark = df.sparkSession
     if not 0 < int(spark.conf.get(ROWS_CONF)) <= BATCH_ROWS:
         spark.conf.set(ROWS_CONF, str(BATCH_ROWS))
+    spark.conf.set(BYTES_CONF, str(BATCH_BYTES))
 
     def tidy(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         try:

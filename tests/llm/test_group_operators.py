@@ -1,4 +1,4 @@
-"""Jaccard join, decontamination, wrapper induction, WARC and the pipeline."""
+"""Jaccard join, decontamination, WARC and the pipeline."""
 
 import base64
 import hashlib
@@ -9,7 +9,7 @@ import corpus_pipeline
 import numpy as np
 import pytest
 
-from stakeweave.llm import decontaminate, jaccard, warc, wrapper
+from stakeweave.llm import decontaminate, jaccard, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -145,60 +145,6 @@ def test_badly_represented_items_get_directions_of_their_own():
         assert np.linalg.norm(x @ whole) >= decontaminate.SHARE * np.linalg.norm(x)
 
 
-PAGE = """<!DOCTYPE html><html><head><title>t</title><script>var a = "</p>";</script></head><body class="has-sidebar">
-<header><h1>Site</h1></header><nav><ul><li><a href="/">Home</a><li>News</ul></nav><div class="cookie-notice">We use cookies</div><!-- x -->
-<article><h1>{title} &amp; more</h1><p>First  <b>bold</b>&nbsp;{body}<br>line<p>5 < 6 &#x41;<div class="ad">Buy</div><form><input>Send</form><div id="comments"><p>nice</div></article>
-<aside>side</aside><footer>&copy; foot</footer></body></html>"""
-
-
-def test_extraction(spark):
-    rows = [(i, f"https://h{i % 2}.example.com/{i}", PAGE.format(title=f"T{i}", body=f"body {i}")) for i in range(12)]
-    rows += [(20, None, None), (21, "x", ""), (22, "http://one.example.org/", "plain text &lt;only&gt;"), (None, "http://h0.example.com/z", PAGE.format(title="N", body="n")), (23, "http://l.example.com", "<p>" + "w " * 50_000)]
-    got = {r.page_id: r for r in wrapper.extracted(spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 AS host", "2 AS wrapper")).collect()}
-    assert len(got) == len(rows)
-    for i in range(12):
-        assert got[i].text == f"T{i} & more\n\nFirst bold body {i} line\n\n5 < 6 A" and got[i].n_chars == len(got[i].text)
-    assert (got[20].text, got[21].text, got[22].text) == ("", "", "plain text <only>") and got[None].text.startswith("N & more") and got[23].n_chars == 99_999
-
-
-def test_wrapper_without_semantic_tags():
-    page = '<html><body><div class="top"><div>Welcome to the site</div></div><div class="c"><div class="body"><p>{a}</p><p>{b}</p></div></div><div class="end"><div>All rights reserved by us</div></div></body></html>'
-    pages = [page.format(a=f"first words of story {i} " * 5, b=f"and more {i * i} " * 9) for i in range(5)]
-    w = wrapper.induce(pages)
-    text = wrapper.extract(pages[2], w)
-    assert "story 2" in text and "and more 4" in text and "Welcome" not in text and "reserved" not in text
-
-
-def test_headline_and_lead_beside_the_body_stay():
-    page = '<html><body><div class="top">Welcome</div><div class="wrap"><h1>title {i}</h1><p>lead {i}</p><div class="content"><p>{body}</p></div></div><ul><li><a href="/">other {i}</a></ul>{more}</body></html>'
-    pages = [page.format(i=i, body=f"long body of {i} " * 40, more="") for i in range(5)]
-    w = wrapper.induce(pages)
-    assert wrapper.extract(pages[2], w) == f"title 2\n\nlead 2\n\n{('long body of 2 ' * 40).strip()}"
-    assert wrapper.extract(page.format(i=9, body="b", more="<div>By someone</div>"), w) == "title 9\n\nlead 9\n\nb\n\nBy someone"
-
-
-def test_constants_on_hosts_of_mixed_layout(spark):
-    story = '<body><div class="top">Welcome</div><article><h1>title {i}</h1><p>story {i} goes on</p><div class="note">Paid links</div><blockquote>a shared passage</blockquote></article></body>'
-    bare = '<body><div class="top">Welcome</div><div class="c"><h1>title {i}</h1><p>bare {i}</p></div><div class="end">All rights ours</div></body>'
-    copy = '<body><article><h1>copy {i}</h1><div class="text">the same long text on every page</div></article></body>'
-    rows = [(i, f"http://{'c' if i >= 200 else 'm'}.example.com/{i}", page.format(i=i)) for start, page in ((0, story), (100, bare), (200, copy)) for i in range(start, start + 30)]
-    for r in wrapper.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect():
-        i = r.page_id
-        want = (f"title {i}", f"story {i} goes on", "a shared passage") if i < 100 else (f"title {i}", f"bare {i}") if i < 200 else (f"copy {i}", "the same long text on every page")
-        assert r.text == "\n\n".join(want)
-
-
-def test_simple_tree_matching():
-    def tree(label, *children):
-        s = wrapper.Slot(label, False)
-        s.children = list(children)
-        return s
-
-    a = tree("a", tree("b", tree("c")), tree("d"), tree("b"))
-    assert wrapper.matching(a, a) == 5 and wrapper.matching(a, tree("x")) == 0
-    assert wrapper.matching(a, tree("a", tree("d"), tree("b", tree("c")))) == 3
-
-
 def test_warc_round_trip_and_push_down(spark, tmp_path):
     rows = [(5, "http://a/ä b%20c", "one"), (3, "http://a/2", "one"), (7, None, None), (8, "http://b/\n", ""), (9, "http://b/9", "two é" * 10_000), (4, "u", "one"), (None, "u", "three")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 AS first", "2 AS payload")
