@@ -84,31 +84,53 @@ def test_suffix_automaton_accepts_exactly_the_substrings():
         assert (state is not None) == (probe in parts)
 
 
-def test_phrases_by_brute_force():
-    rng = random.Random(4)
-    texts = {"x": "".join(rng.choices("ab c", k=400)), "y": "".join(rng.choices("bcd ", k=400))}
-    parser = langid.Parser(texts)
-    normal = lambda t: re.sub("[^a-z]+", " ", t)
-    probes = ["".join(rng.choices("abcd e", k=rng.choice([1, 30, 700, 1500]))) for _ in range(20)]
-
-    def parse(text: str, lang: str) -> int:
-        n, trained = 0, normal(texts[lang]).lstrip()
-        for at in range(0, len(text), langid.BLOCK):
-            block, i = text[at : at + langid.BLOCK], 0
-            while i < len(block):
-                j = i + 1
-                while j <= len(block) and block[i:j] in trained:
-                    j += 1
-                n, i = n + 1, max(i + 1, j - 1)
-        return n
-
+def brute_phrases(text: str, trained: str) -> int:
+    """Phrases of the whole text by trying every length; symbols that training lacks ("\0") count twice."""
+    n = i = 0
+    while i < len(text):
+        j = i + 1
+        while j <= len(text) and text[i:j] in trained:
+            j += 1
+        n, i = n + 1, max(i + 1, j - 1)
+    return n + text.count("\0")
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_phrases_by_brute_force(seed):
+    rng = random.Random(seed)
+    texts = {"x": "".join(rng.choices("ab c", k=3000)), "y": "".join(rng.choices("bcd ", k=400)), "z": "".join(chr(0x4E00 + rng.randrange(900)) for _ in range(2000))}
+    parser, block = langid.Parser(texts), langid.BLOCK
+    probes = ["".join(rng.choices("abcd e", k=k)) for k in (1, 30, 700, 1500, block - 1, block, block + 1, 2 * block)]
+    probes += [texts["x"][200:2900], texts["z"][5:1800] + "ab" + texts["z"][100:1900], "q" * 1300, texts["y"] * 6]  # phrases over many blocks
     got = parser.score(probes)
-    for k, p in enumerate(probes):
-        p = re.sub(" +", " ", p).lstrip(" ") if p.strip() else p
-        own = parser.coded(probes[k])
+    for k, probe in enumerate(probes):
+        own = parser.coded(probe)
+        assert len(own) == len(re.sub(" +", " ", probe).lstrip(" ") if probe.strip() else probe) or probe.startswith(" ")
         for i, lang in enumerate(parser.langs):
-            expected = parse("".join(" " if c == langid.SPACE else "?" if c == langid.PAD else chr(int(np.flatnonzero(parser.classes == c)[0])) for c in own), lang)
-            assert got[i, k] == pytest.approx(expected * parser.bits[i] / max(len(own), 1))
+            spell = lambda c, i=i: "".join(chr(0x100 + x) if x else "\0" for x in parser.symbols[i][c])
+            assert got[i, k] == pytest.approx(brute_phrases(spell(own), spell(parser.coded(texts[lang]))) * parser.bits[i] / max(len(own), 1))
+
+
+def test_transitions_laid_into_one_array():
+    rng = random.Random(9)
+    symbols = [rng.choice([1, 2, 3, rng.randrange(4, 700)]) for _ in range(3000)]
+    move = langid.suffix_automaton(symbols)
+    packed = langid.Automaton(move, 701)
+    assert len(packed.to) < 3 * sum(map(len, move)) + 3000
+    for s, own in enumerate(move):
+        at = packed.base[s] + np.arange(701)
+        mine = np.flatnonzero(packed.owner[np.minimum(at, len(packed.owner) - 1)] == s)
+        assert {c: int(packed.to[packed.base[s] + c]) for c in mine.tolist()} == own
+
+
+def test_languages_of_thousands_of_letters(spark):
+    rng = random.Random(10)
+    text = lambda i, k: "".join(chr(0x4E00 + 3000 * i + rng.randrange(3000)) for _ in range(k))
+    rows = [(d, text(d % 3, 700), f"l{d % 3}", "s", 1) for d in range(240)] + [(1000, "Ж" * 9, None, "s", 1)]
+    docs = spark.createDataFrame(rows, DOCS)
+    got = langid.identify(docs).collect()
+    assert all(r.lang_pred == f"l{r.doc_id % 3}" and r.score > 0.3 for r in got if r.doc_id < 1000)
+    assert sorted(map(str, langid.identify(docs, languages=1).collect())) == sorted(map(str, got))
 
 
 def test_language_held_out_accuracy_and_edges(spark, odd):
