@@ -9,12 +9,15 @@ header's extra field ("sl"), so a reader can step over a member without inflatin
 Members without the extra field (other writers') are read too: inflated to find their end, payload not kept.
 
 Files go through pyarrow's file systems, so a path may be in any store that pyarrow opens. A task writes
-under names of its own; the driver's commit lists the files of successful attempts in _MANIFEST, and only
-those are read, so lost executors and repeated attempts leave no double rows.
+under names of its own; the driver's commit lists the files of successful attempts in a manifest of its own, and only
+files that some manifest lists are read, so lost executors and repeated attempts leave no double rows, and appending to
+an archive keeps what it had. A folder without a manifest (another writer's) is read whole.
 
 Options: path; payload = return (default), verify (inflate and check the digest, return null) or skip.
 Nulls: a null html is an empty payload; a null url leaves its header out; a null page_id gives a response with a
-null id. Repeated rows are written and read as often as they come. No pages give an empty archive.
+null id, which nothing refers to. Repeated rows are written and read as often as they come: rows with the response's page_id and payload
+are all responses. A page_id with several payloads has a role in each payload's group. Payloads of any length are held whole, one
+at a time. No pages give an empty archive. Other columns of the pages are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -107,7 +110,7 @@ class WarcWriter(DataSourceArrowWriter):
         fs, root = file_system(self.path)
         fs.create_dir(root, recursive=True)
         done = "".join(f"{n}\n" for m in messages if m for n in m.names)
-        with fs.open_output_stream(f"{root}/_MANIFEST") as out:
+        with fs.open_output_stream(f"{root}/_MANIFEST-{uuid.uuid4().hex}") as out:
             out.write(done.encode())
 
     def abort(self, messages: list[Files | None]) -> None:
@@ -162,10 +165,12 @@ class WarcReader(DataSourceReader):
 
         fs, root = file_system(self.path)
         infos = [x for x in fs.get_file_info(pafs.FileSelector(root)) if x.is_file]
-        listed = next((x for x in infos if x.base_name == "_MANIFEST"), None)
+        listed = [x for x in infos if x.base_name.startswith("_MANIFEST")]
         if listed:
-            with fs.open_input_stream(listed.path, compression=None) as f:
-                done = set(f.read().decode().split())
+            done: set[str] = set()
+            for x in listed:
+                with fs.open_input_stream(x.path, compression=None) as f:
+                    done.update(f.read().decode().split())
             infos = [x for x in infos if x.base_name in done]
         parts, held = [], PLAN
         for x in sorted((x for x in infos if x.base_name.endswith(".warc.gz")), key=lambda x: x.base_name):

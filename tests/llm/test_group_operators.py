@@ -198,6 +198,16 @@ def test_warc_round_trip_and_push_down(spark, tmp_path):
     assert warc.read_warc(spark, warc.write_warc(warc.deduplicated(pages.limit(0)), f"file://{tmp_path}/none")).count() == 0
 
 
+def test_appending_keeps_the_archive(spark, tmp_path):
+    path = f"file://{tmp_path}/x"
+    for rows in ([(1, "u", "one")], [(2, "v", "two"), (3, "v", "two")], [], [(1, "u", "one"), (1, "u", "one"), (1, "u", "other"), (4, None, "x" * 3_000_000)]):
+        warc.write_warc(warc.deduplicated(spark.createDataFrame(rows, "page_id long, url string, html string")), path)
+    got = sorted((r.page_id, r.record_type, r.refers_to, r.payload_bytes) for r in warc.read_warc(spark, path).collect())
+    assert got == [(1, "response", None, 3)] * 3 + [(1, "response", None, 5), (2, "response", None, 3), (3, "revisit", 2, 3), (4, "response", None, 3_000_000)]
+    (tmp_path / "x" / "part-of-a-lost-task.warc.gz").write_bytes(warc.member(warc.record("response", 9, "u", b"x", warc.sha1_base32(b"x"), 1, None)))
+    assert warc.read_warc(spark, path).count() == len(got)
+
+
 def test_reader_takes_plain_members_and_pushes_filters(tmp_path):
     import gzip
 
