@@ -96,6 +96,18 @@ def hand_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def free_names(taken: list[str], *own: str) -> list[str]:
+    """The names of an operator's own columns: with as many underscores after them as keep them apart from those of the input."""
+    low = {n.lower() for n in taken}
+    out = []
+    for name in own:
+        while name.lower() in low:
+            name += "_"
+        low.add(name)
+        out.append(name)
+    return out
+
+
 class WordIds(dict):
     """Word (bytes) -> 64-bit hash; emptied when it reaches `bound` words, so memory stays bounded."""
 

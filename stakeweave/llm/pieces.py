@@ -5,13 +5,18 @@ marks and around line feeds. The distinct cut words of a batch are sorted, which
 trie, and walked with one stack of forward scores: a word keeps the scores of the prefix it shares with the
 word before and computes only what differs. Characters without a piece become byte pieces.
 
+The best segmentation is the likeliest: scores are log probabilities. A file of merges has ranks instead; they get the
+probabilities of Zipf's and Mandelbrot's law, proportional to 1 / (rank + SHIFT).
+
 Ties between segmentations go to the longer last piece. Known words are kept up to a bound; memory is that
-of one batch. Null and empty texts have no pieces; repeated rows encode alike; other columns are kept by encoded().
+of one batch, whose longest text is held whole. Null and empty texts have no pieces; repeated rows encode alike; other columns are kept by
+encoded(), and where they have the names of its own, underscores are added to these. No rows give no rows.
 The model file is read on the driver; its pieces (tens of thousands) are broadcast.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections.abc import Iterator
@@ -22,13 +27,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mapped
+from .common import free_names, mapped
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 KNOWN = 100_000  # words kept between batches
 CHUNK = 500_000  # characters encoded at once
 UNKNOWN = 10.0  # an unknown character scores this much below the worst piece
+SHIFT = 2.7
+
+
+def log_probabilities(scores: list[float]) -> list[float]:
+    """The scores of a file, or those that its ranks (0, -1, -2, ...) stand for."""
+    if any(s != int(s) or s > 0 for s in scores):
+        return scores
+    total = sum(1 / (SHIFT - s) for s in scores)
+    return [-math.log((SHIFT - s) * total) for s in scores]
 
 
 class Pieces:
@@ -42,7 +56,8 @@ class Pieces:
         self.byte_id = [0] * 256
         self.back: dict = {}
         self.worst = 0.0
-        pieces = []
+        pieces: list[str] = []
+        at: list[int] = []
         for i in range(model.vocab_size()):
             piece = model.id_to_piece(i)
             if model.is_byte(i):
@@ -51,9 +66,11 @@ class Pieces:
             elif model.is_control(i) or model.is_unknown(i):
                 self.bytes_of.append(b"")
             else:
-                self.add(piece, i, model.get_score(i))
                 self.bytes_of.append(piece.replace(MARK, " ").encode())
                 pieces.append(piece)
+                at.append(i)
+        for piece, i, score in zip(pieces, at, log_probabilities([model.get_score(i) for i in at]), strict=True):
+            self.add(piece, i, score)
         self.unknown = self.worst - UNKNOWN
         cuts = "" if any("\n" in p for p in pieces) else "\n"
         if any(MARK in p.lstrip(MARK) for p in pieces):
@@ -142,9 +159,10 @@ class Encoder:
 def encoded(docs: DataFrame, model: str = MODEL) -> DataFrame:
     """docs without text but with input_ids array<int> and n_tokens long."""
     pieces = docs.sparkSession.sparkContext.broadcast(Pieces(model))
-    kept = [f for f in docs.schema if f.name not in ("text", "input_ids", "n_tokens")]
-    schema = T.StructType([*kept, T.StructField("input_ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType())])
+    kept = [f for f in docs.schema if f.name != "text"]
     columns = [f.name for f in kept]
+    own = free_names(columns, "input_ids", "n_tokens")
+    schema = T.StructType([*kept, T.StructField(own[0], T.ArrayType(T.IntegerType())), T.StructField(own[1], T.LongType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = Encoder(pieces.value)
@@ -152,9 +170,9 @@ def encoded(docs: DataFrame, model: str = MODEL) -> DataFrame:
             for at in range(0, len(batch), 1000):
                 part = batch.iloc[at : at + 1000]
                 ids = list(encoder.encode(part["text"].tolist()))
-                yield part[columns].assign(input_ids=ids, n_tokens=[len(x) for x in ids])
+                yield part[columns].assign(**{own[0]: ids, own[1]: [len(x) for x in ids]})
 
-    return mapped(docs.drop("input_ids", "n_tokens"), run, schema)
+    return mapped(docs, run, schema)
 
 
 def decoded(rows: DataFrame, model: str = MODEL) -> DataFrame:
