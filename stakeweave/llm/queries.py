@@ -31,7 +31,7 @@ def op5_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_feistel_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return pii.pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"), pii.session_key(spark))
 
 
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
