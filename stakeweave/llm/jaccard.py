@@ -14,7 +14,9 @@ cut into fragments; for a candidate pair the overlap is counted in each fragment
 
 Nulls and empties: null or word-less texts have n_shingles 0, link with nothing and are their own
 component. Rows with a null doc_id keep their n_shingles, link with nothing and have a null component.
-Rows that repeat a doc_id are one node. Extra columns of the input are ignored.
+Rows that repeat a doc_id are one node, also with different texts: it has the links of all of them, and n_shingles is each
+row's own. Very long texts are read whole, their sets cut into fragments. Of equal sets the smallest doc_id stands for all. No rows give no
+rows. Extra columns of the input are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -178,7 +180,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, every: in
     order = sc.broadcast(Order(frequent_shingles(docs, k, every, frequent)))
     feats = stored(features(docs, order, k, percent), "feats")
     named = feats.filter("doc_id is not null and n > 0")
-    repeats = bool(named.groupBy("doc_id").count().filter("count > 1").limit(1).count())
+    repeats = bool(feats.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").limit(1).count())
     classes = named.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.count("*").alias("n_copies"))
     postings = classes.select("rep", "n", F.posexplode("prefix").alias("pos", "token"))
     per_token = Window.partitionBy("token")
@@ -194,6 +196,10 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, every: in
     stars = multi.filter(F.col("rep") != F.col("hub.rep")).filter(possible({"n": F.col("n"), "pos": F.col("pos")}, F.col("hub")))
     stars = stored(stars.select(F.col("hub.rep").alias("a"), F.col("rep").alias("b")).distinct(), "stars")
     links = verified(stars, docs, feats, order, k, percent, repeats, "round1")
+    if repeats:  # a doc_id in several classes links them
+        members = named.join(classes.select("s1", "s2", "rep"), ["s1", "s2"]).select("rep", "doc_id").distinct()
+        several = members.groupBy("doc_id").count().filter("count > 1").select("doc_id")
+        links = stored(links.union(members.join(several, "doc_id").filter("rep != doc_id").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))), "links")
     comp = connected_components(links, "round1")
 
     own = multi.select("token", "rep", "n", "pos").join(comp.toDF("rep", "comp"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
@@ -212,9 +218,13 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, every: in
     # stored, so that both sides of the last join are shuffled for it alone and Spark can split a class that many rows share
     named_class = stored(classes.select("s1", "s2", "rep", "n_copies").join(comp.toDF("rep", "comp"), "rep", "left"), "classes")
     out = feats.select("doc_id", "n", "s1", "s2").join(named_class, ["s1", "s2"], "left")
-    return out.select(
+    out = out.select(
         "doc_id",
         F.col("n").alias("n_shingles"),
         F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.coalesce("comp", "rep")).otherwise(F.col("doc_id")).alias("component_id"),
         F.when(F.col("n") > 0, F.col("n_copies")).otherwise(F.lit(1)).alias("n_copies"),
     )
+    if repeats:  # a doc_id's rows without words follow the others
+        least = out.filter("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("least"))
+        out = out.join(least, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("least", "component_id").alias("component_id"), "n_copies")
+    return out

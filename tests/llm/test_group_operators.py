@@ -72,6 +72,30 @@ def test_a_repeated_long_row_links_nothing_new(spark):
     assert len(got) == len(rows) and all((r.n_shingles, r.component_id) == (100, r.doc_id) for r in got)
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_doc_ids_with_several_texts_link_their_classes(spark, seed):
+    rng = random.Random(seed)
+    x, y = "one two three four five six seven", "eight nine ten eleven twelve thirteen"
+    rows = [(2, x), (4, x), (4, y), (7, y), (8, "alone here"), (9, None), (9, "alone  HERE"), (9, "")]
+    texts = ["a b c d e f", "b c d e f g", "c d e f g h", "p q r s t u", "q r s t u v", "w x", "y z"]
+    rows += [(rng.randrange(100, 130), rng.choice(texts) + " tail" * rng.randrange(2)) for _ in range(24)]
+    got = {(r.doc_id, r.component_id) for r in jaccard.jaccard_components(spark.createDataFrame([(*r, "en", "s", 1) for r in rows], DOCS), 4, 60).collect()}
+    root = {i: i for i, _ in rows}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    sets = [(i, {tuple(w[j : j + 4]) for j in range(max(1, len(w) - 3))}) for i, t in rows if (w := (t or "").lower().split())]
+    for i, a in sets:
+        for j, b in sets:
+            if 100 * len(a & b) >= 60 * len(a | b):
+                p, q = find(i), find(j)
+                root[max(p, q)] = min(p, q)
+    assert got == {(i, find(i)) for i, _ in rows} and (4, 2) in got and (7, 2) in got and (9, 8) in got
+
+
 def test_ids_at_the_ends_of_the_bitmap(spark):
     ids = [25317696, 1, 2]  # xxhash64 of the first is 0 modulo 2^24
     docs = spark.createDataFrame([(i, f"some words of {i} here", "en", "s", 1) for i in ids], DOCS)
