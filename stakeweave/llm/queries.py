@@ -92,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op2_license_scan": licenses.oracle(),
+    "op5_hash_tree_sharding": sharding.oracle(),
     "op7_ngram_jaccard": ORACLE7,
     "op10_warc_archive": ORACLE10,
 }
