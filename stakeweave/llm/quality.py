@@ -2,17 +2,19 @@
 
 Each document's rule statistics (counts of words, symbols, repeated lines and repeated windows, and shares
 made of them) are one row of numbers. Trees split one statistic at a random value, drawn over the range that
-all sampled rows span; they are grown on rows labelled good. A document whose path to a leaf is
+all rows span; they are grown on rows labelled good. A document whose path to a leaf is
 short on average is an anomaly. The threshold on the score 2 ** (-path / c) is calibrated on all
 labelled rows: of those that reject at most `spare` of the good ones, that which separates best.
 
-Fitted on a bounded sample: one row in each of SAMPLE hash buckets of doc_id for the range, and one labelled
-good in each for the trees. Everything else, statistics, scores and calibration, covers all rows.
+The trees are fitted on a bounded sample: one row labelled good in each of SAMPLE hash buckets of doc_id. Everything else,
+ranges, statistics, scores and calibration, covers all rows. Scores are binned (`bins`); of thresholds that separate equally well
+the lowest is taken, and a score equal to it is rejected.
 
 Base rules: under 10 words, or over 20 % of the words in 5-word windows that occur twice, fail. Null and empty
 texts have no words and fail. Without labelled rows of both kinds only the base rules reject. Rows with a
 null doc_id are scored but not used to calibrate; repeated rows are judged alike; labels that name a
-document twice count its lowest quality; extra columns pass through where the caller asks for them.
+document twice count its lowest quality; texts of any length are measured whole. Columns other than doc_id and text are ignored, whatever
+their names. No rows give no rows.
 """
 
 from __future__ import annotations
@@ -84,11 +86,10 @@ def mean_path(n: int) -> float:
 
 
 class Forest:
-    """Random axis splits over the box of `range_rows`, grown until `good` rows are alone or DEPTH is reached."""
+    """Random axis splits over the box from low to high, grown until `good` rows are alone or DEPTH is reached."""
 
-    def __init__(self, good: np.ndarray, range_rows: np.ndarray, seed: int = 7):
+    def __init__(self, good: np.ndarray, low: np.ndarray, high: np.ndarray, seed: int = 7):
         rng = np.random.default_rng(seed)
-        low, high = range_rows.min(0), range_rows.max(0)
         self.c = mean_path(min(GROWN_ON, len(good)))
         self.trees = [self.grow(good[rng.permutation(len(good))[:GROWN_ON]], low.copy(), high.copy(), rng) for _ in range(TREES)]
 
@@ -142,11 +143,13 @@ def judged(docs: DataFrame, labels: DataFrame, spare: float = 0.005, bins: int =
     """BASE, score, base_failed and kept for every row of docs(doc_id, text), given labels(doc_id, quality)."""
     rows = stored(measured(docs), "quality")
     marks = labels.filter("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
-    good, every = one_per_bucket(rows.join(marks.filter("quality = 1"), "doc_id", "left_semi")), one_per_bucket(rows)
+    good = one_per_bucket(rows.join(marks.filter("quality = 1"), "doc_id", "left_semi"))
     base_failed = (F.col("n_words") < 10) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 20)
     if not len(good):
         return rows.select("*", F.lit(0.0).alias("score"), base_failed.alias("base_failed"), (~base_failed).alias("kept")).drop("x")
-    forest = docs.sparkSession.sparkContext.broadcast(Forest(good, every))
+    x = F.col("x")
+    box = rows.agg(*[f(x[i]).alias(f"{f.__name__}{i}") for f in (F.min, F.max) for i in range(len(FEATURES))]).first()
+    forest = docs.sparkSession.sparkContext.broadcast(Forest(good, np.array(box[: len(FEATURES)]), np.array(box[len(FEATURES) :])))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -43,6 +43,15 @@ def test_license_places_by_brute_force(spark, odd):
             assert set(r.base_labels.split(",")) - {""} <= set(r.labels.split(",")) and 0 <= r.score <= 1
 
 
+def test_longer_license_phrases_beat_the_shorter(spark):
+    texts = {
+        "Creative Commons Attribution-NonCommercial-ShareAlike 4.0": "cc-by-nc-sa", "Creative Commons Attribution 4.0 International": "cc-by", "Creative Commons Attribution-NoDerivatives": "cc-by-nd",
+        "GNU General Public License": "gpl", "GNU General Public License, version 3": "gpl-3", "GNU General Public License version 2 and the GNU General Public License": "gpl,gpl-2", "CC BY-NC-SA": "cc-by-nc",
+    }
+    got = licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r.labels for r in got] == list(texts.values())
+
+
 def test_license_empty_table(spark):
     assert licenses.scan_licenses(spark.createDataFrame([], DOCS)).count() == 0
 
@@ -63,6 +72,18 @@ def test_sharding_laws(spark, odd):
     assert sharding.shard_rows(odd.limit(0)).count() == 0
 
 
+def test_repeated_rows_get_slots_of_their_own(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "CHUNK", 100)
+    rows = spark.range(3000).selectExpr("if(id < 1200, null, if(id < 2000, 7, id)) AS doc_id", "if(id % 3 = 0, null, concat('t', id % 2)) AS text", "1 AS shard", "2 AS slot", "3 AS n", "4 AS first")
+    got = sharding.shard_rows(rows).collect()
+    assert len(got) == 3000
+    for s in range(8):
+        own = sorted(r.slot for r in got if r.shard == s)
+        assert own == list(range(len(own)))
+    count = lambda xs: {k: xs.count(k) for k in set(xs)}
+    assert count([(r.doc_id, r.size, r.text_crc32) for r in got]) == count([(r.doc_id, len(r.text or "") + 1, zlib.crc32((r.text or "").encode())) for r in rows.collect()])
+
+
 def test_weights_move_rows_only_within_their_subtree(spark):
     from pyspark.sql import functions as F
 
@@ -260,17 +281,50 @@ def test_quality_statistics_by_brute_force():
 
 
 def test_quality_keeps_good_and_rejects_junk(spark, odd):
-    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
-    rows = quality.judged(docs, labels).join(labels, "doc_id").collect()
-    good = [r for r in rows if r.quality == 1 and not r.base_failed]
-    assert np.mean([r.kept for r in good]) > 0.99
-    assert np.mean([not r.kept for r in rows if r.quality == 0]) > 0.95
+    """Fitted on the labels of even hashes, read on the others, on a table that no choice was made on."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    half = labels.selectExpr("*", "crc32(cast(cast(doc_id AS string) AS binary)) % 2 = 0 AS fit")
+    rows = quality.judged(docs, half.filter("fit")).join(half.filter("not fit"), "doc_id").collect()
+    good, bad = ([r for r in rows if r.quality == q] for q in (1, 0))
+    assert len(good) > 100 and np.mean([r.kept for r in good if not r.base_failed]) >= 0.97
+    assert len(bad) > 20 and np.mean([not r.kept for r in bad]) >= 0.9
     none = spark.createDataFrame([], "doc_id long, quality int")
     got = quality.judged(odd, none).collect()
     assert len(got) == len(ODD) and all(r.kept != r.base_failed for r in got)
     assert quality.judged(odd.limit(0), none).count() == 0
 
 
+def test_quality_query_by_brute_force(spark):
+    """Every row against a forest walked node by node, and a threshold found by trying all."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    got = {r.doc_id: r for r in quality.judged(docs.selectExpr("*", "1 AS x", "2 AS score"), labels.unionByName(labels)).collect()}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    mark = {r.doc_id: r.quality for r in labels.collect()}
+    x = {i: np.array(quality.statistics(t, quality.WordIds())[1]) for i, t in texts.items()}
+    every = np.array(list(x.values()))
+    good = quality.one_per_bucket(spark.createDataFrame([(i, v.tolist()) for i, v in x.items() if mark.get(i) == 1], "doc_id long, x array<double>"))
+    forest = quality.Forest(good, every.min(0), every.max(0))
+
+    def path(tree, v):
+        f, value, left, right, length = tree
+        at = 0
+        while f[at] >= 0:
+            at = left[at] if v[f[at]] < value[at] else right[at]
+        return length[at]
+
+    score = {i: 2 ** (-np.mean([path(t, v) for t in forest.trees]) / forest.c) for i, v in x.items()}
+    kept = {}
+    for step in range(2001):
+        over = {q: np.mean([score[i] >= step / 2000 for i in mark if mark[i] == q]) for q in (0, 1)}
+        kept[step] = over[0] - over[1] if over[1] <= 0.005 else -1
+    threshold = max(kept, key=lambda s: (kept[s], -s)) / 2000
+    for i, r in got.items():
+        base = brute_quality(texts[i])
+        failed = base[0] < 10 or 100 * base[4] > 20 * base[0]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == (*base, failed)
+        assert r.score == pytest.approx(score[i]) and r.kept == (not failed and score[i] < threshold)
+
+
 @pytest.fixture(scope="module")
 def vocabulary():
     return pieces.Pieces()
