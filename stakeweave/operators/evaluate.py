@@ -6,9 +6,12 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from stakeweave.functions.names import token_match
+from stakeweave.plans.iterate import cut
 
+from . import resolve
 from .resolve import block_pairs
 
 
@@ -32,3 +35,40 @@ def threshold_sweep(pairs: DataFrame, thresholds: tuple[float, ...] = (0.6, 0.7,
     """threshold, matches of pairs(a, b) by token comparison at each threshold."""
     counts = pairs.agg(*[F.count_if(token_match(F.col("a"), F.col("b"), t)).alias(str(t)) for t in thresholds])
     return counts.select(F.explode(F.array(*[F.struct(F.lit(t).alias("threshold"), F.col(f"`{t}`").alias("matches")) for t in thresholds])).alias("x")).select("x.*")
+
+
+# the steps of resolution, added one by one; the last two compare whole keys in place of words
+ABLATIONS = {
+    "normalised only": {"capacity": False, "truncation": False, "fuzzy": False}, "capacity": {"truncation": False, "fuzzy": False}, "truncation": {"fuzzy": False}, "fuzzy": {},
+    "whole keys 0.8": {"token_guard": False, "key_threshold": 0.8}, "whole keys 0.9": {"token_guard": False, "key_threshold": 0.9},
+}
+
+
+def ablations(filed: DataFrame, pairs: DataFrame, configs: dict[str, dict] | None = None) -> DataFrame:
+    """config, entities and scores on labelled pairs(a, b, filed_type, truth) of filed(raw, filed_type, listed) for each way of resolution."""
+    out = []
+    for config, switches in (configs or ABLATIONS).items():
+        own = dict(switches)
+        obs = resolve.observations(filed, capacity=own.pop("capacity", True))
+        roots, _ = resolve.merged(obs, cut(resolve.merge_candidates(obs, **own)))
+        root = cut(obs.join(roots, ["entity_type", "key"]).select("raw", "filed_type", F.concat_ws("\u0001", "entity_type", "root").alias("root")))
+        told = pairs.join(root.withColumnsRenamed({"raw": "a", "root": "root_a"}), ["a", "filed_type"]).join(root.withColumnsRenamed({"raw": "b", "root": "root_b"}), ["b", "filed_type"])
+        result = scores(told.select("truth", (F.col("root_a") == F.col("root_b")).alias("found")))
+        out.append(result.join(root.agg(F.countDistinct("root").alias("entities"))).select(F.lit(config).alias("config"), "entities", "tp", "fp", "fn", "tn", "precision", "recall", "f1"))
+    return reduce(DataFrame.unionByName, out)
+
+
+def candidate_pool(keys: DataFrame, least: int = 3, most: int = 10) -> DataFrame:
+    """a, b, band (0 to 3, by quarters of Jaccard similarity) of different keys that share a word of at least `least` letters in at most `most` keys."""
+    tok = keys.select("key", F.explode(F.array_distinct(F.split("key", " "))).alias("token")).filter(F.length("token") >= least)
+    own = tok.join(tok.groupBy("token").agg(F.count("*").alias("df")).filter(F.col("df") <= most).select("token"), "token")
+    pairs = own.toDF("token", "a").join(own.toDF("token", "b"), "token").filter("a < b").select("a", "b").distinct()
+    x, y = F.split("a", " "), F.split("b", " ")
+    return pairs.select("a", "b", F.least(F.lit(3), F.floor(4 * F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y))).cast("int")).alias("band"))
+
+
+def stratified_sample(pool: DataFrame, per_band: int, seed: int) -> DataFrame:
+    """`per_band` pairs of each band, by the smallest hashes of seed and pair: the same in any order and place."""
+    drawn = F.md5(F.concat(F.lit(str(seed)), "a", F.lit("|"), "b").cast("binary"))
+    place = F.row_number().over(Window.partitionBy("band").orderBy(drawn, "a", "b"))
+    return pool.withColumn("place", place).filter(F.col("place") <= per_band).select("a", "b", "band")

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from stakeweave.functions.names import holding_entity, holding_type, match_key, token_match
+from stakeweave.functions.names import holding_type, match_key, similarity, token_match, with_entity
 from stakeweave.plans.iterate import cut, placed
 from stakeweave.plans.network import least_labels
 
@@ -15,13 +15,13 @@ BLOCK, TRUNCATED = 3, 15  # leading characters of a block; least length of a key
 
 
 def observations(filed: DataFrame, capacity: bool = True) -> DataFrame:
-    """One row per (raw, filed_type) of filed(raw, filed_type, listed[, cin, line]): count, listed, cin, name, rule, entity_type, key."""
+    """One row per (raw, filed_type) of filed(raw, filed_type, listed[, cin, line]): count, listed, cin, name, rule, entity_type, key; cut, as much is built on it."""
     for c, kind in (("cin", "string"), ("line", "long")):
         filed = filed if c in filed.columns else filed.withColumn(c, F.lit(None).cast(kind))
     seen = filed.groupBy("raw", "filed_type").agg(F.count("*").alias("n"), F.bool_or("listed").alias("listed"), F.min_by("cin", F.when(F.col("cin").isNotNull(), F.coalesce("line", F.lit(0)))).alias("cin"))
     as_is = F.struct(F.col("raw").alias("name"), F.lit(None).cast("string").alias("kind"), F.lit("as_filed").alias("rule"))
-    seen = seen.withColumn("held_as", holding_entity("raw") if capacity else as_is)
-    return seen.select("raw", "filed_type", "n", "listed", "cin", F.col("held_as.name").alias("name"), F.col("held_as.rule").alias("rule"), holding_type(F.col("filed_type"), F.col("held_as.kind")).alias("entity_type"), match_key(F.col("held_as.name")).alias("key"))
+    seen = with_entity(seen, "raw") if capacity else seen.withColumn("held_as", as_is)
+    return cut(seen.select("raw", "filed_type", "n", "listed", "cin", F.col("held_as.name").alias("name"), F.col("held_as.rule").alias("rule"), holding_type(F.col("filed_type"), F.col("held_as.kind")).alias("entity_type"), match_key(F.col("held_as.name")).alias("key")))
 
 
 def block_pairs(keys: DataFrame, width: int = BLOCK) -> DataFrame:
@@ -42,8 +42,38 @@ def truncation_pairs(keys: DataFrame) -> DataFrame:
     return one.filter(F.col("b").substr(F.length("a") + 1, F.lit(1)) != " ").select("entity_type", "a", "b")
 
 
-def merge_candidates(obs: DataFrame, truncation: bool = True, fuzzy: bool = True, threshold: float = 0.8) -> DataFrame:
-    """step (0 cin, 1 truncation, 2 fuzzy), entity_type, a, b: unions to try, in order of step, entity_type, a, b."""
+def fuzzy_pairs(keys: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """The block_pairs of keys that token_match holds for, without making the others.
+
+    Words that must be equal (up to three letters, or with digits) stand at the same places of both keys: with the number of words they
+    are the join's key. Of the n words at least n - n // 2 are equal; where those words alone are not enough, both keys share
+    one of their n // 2 + 1 rarest other words at the same place, too (prefix filter). Keys that are equal without spaces are joined on that.
+    """
+    keys = keys.select("entity_type", "key").distinct()
+    within = (F.col("a") < F.col("b")) & F.startswith(F.col("b"), F.substring("a", 1, BLOCK))
+    squeezed = keys.select("entity_type", "key", F.replace("key", F.lit(" "), F.lit("")).alias("squeezed"))
+    same = squeezed.withColumnRenamed("key", "a").join(squeezed.withColumnRenamed("key", "b"), ["entity_type", "squeezed"]).filter(within)
+    words = keys.withColumn("words", F.split("key", " ")).withColumn("n", F.size("words"))
+    fixed = lambda w: (F.length(w) <= 3) | w.rlike("[0-9]")
+    words = words.withColumn("fixed", F.transform("words", lambda w: F.when(fixed(w), w).otherwise("")))
+    words = words.withColumn("places", F.filter(F.transform("words", lambda w, i: F.when(~fixed(w), F.struct(i.alias("place"), w.alias("word")))), lambda p: p.isNotNull()))
+    enough = F.size("places") <= F.floor(F.col("n") / 2)  # the fixed words are n - n // 2 already
+    plain = words.filter(enough).select("entity_type", "key", "n", "fixed", F.lit(-1).alias("place"), F.lit("").alias("word"))
+    rest = words.filter(~enough).select("entity_type", "key", "n", "fixed", F.explode("places").alias("p")).select("entity_type", "key", "n", "fixed", "p.place", "p.word")
+    often = rest.groupBy("entity_type", "n", "fixed", "place", "word").agg(F.count("*").alias("df"))
+    rank = F.row_number().over(Window.partitionBy("entity_type", "key").orderBy("df", "place"))
+    rare = rest.join(often, ["entity_type", "n", "fixed", "place", "word"]).withColumn("rank", rank).filter(F.col("rank") <= F.floor(F.col("n") / 2) + 1)
+    tokens = plain.unionByName(rare.select(plain.columns))
+    on = ["entity_type", "n", "fixed", "place", "word"]
+    alike = tokens.withColumnRenamed("key", "a").join(tokens.withColumnRenamed("key", "b"), on).filter(within).filter(token_match(F.col("a"), F.col("b"), threshold))
+    return alike.select("entity_type", "a", "b").union(same.select("entity_type", "a", "b")).distinct()
+
+
+def merge_candidates(obs: DataFrame, truncation: bool = True, fuzzy: bool = True, threshold: float = 0.8, token_guard: bool = True, key_threshold: float = 0.8) -> DataFrame:
+    """step (0 cin, 1 truncation, 2 fuzzy), entity_type, a, b: unions to try, in order of step, entity_type, a, b.
+
+    Without the token guard the fuzzy step compares whole keys of a block, by their similarity alone.
+    """
     keys = obs.select("entity_type", "key").distinct()
     first = Window.partitionBy("cin", "entity_type")
     star = obs.filter("cin is not null").select("cin", "entity_type", "key").distinct().withColumn("a", F.min("key").over(first)).filter("a != key")
@@ -51,19 +81,22 @@ def merge_candidates(obs: DataFrame, truncation: bool = True, fuzzy: bool = True
     if truncation:
         out = out.unionByName(truncation_pairs(keys).withColumn("step", F.lit(1)))
     if fuzzy:
-        out = out.unionByName(block_pairs(keys).filter(token_match(F.col("a"), F.col("b"), threshold)).withColumn("step", F.lit(2)))
+        pairs = fuzzy_pairs(keys, threshold) if token_guard else block_pairs(keys).filter(similarity(F.col("a"), F.col("b")) >= key_threshold)
+        out = out.unionByName(pairs.withColumn("step", F.lit(2)))
     return out
 
 
 def merged(obs: DataFrame, candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
     """((entity_type, key, root), merge log(step, entity_type, a, b)): unions in order; sets with differing CINs stay apart.
 
-    Candidates that can touch each other form a component; each is replayed by itself, so the order only matters inside.
+    Candidates that can touch each other form a component; each is replayed by itself, so the order only matters inside. Keys
+    that no candidate names are their own roots and take no part.
     """
     tag = lambda c: F.concat_ws("\u0001", "entity_type", c)
     links = cut(candidates.select(tag("a").alias("a"), tag("b").alias("b")).distinct())
     keys = obs.groupBy("entity_type", "key").agg(F.collect_set("cin").alias("cins")).withColumn("node", tag("key"))
-    labels = least_labels(links, keys.select("node"))
+    touched = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
+    labels = cut(least_labels(links, touched))
     part = cut(keys.join(labels, "node").select("entity_type", "key", "cins", F.col("component").alias("part")))
     moves = candidates.withColumn("node", tag("a")).join(labels, "node").select(F.col("component").alias("part"), "step", "entity_type", "a", "b")
 
@@ -88,7 +121,8 @@ def merged(obs: DataFrame, candidates: DataFrame) -> tuple[DataFrame, DataFrame]
         return pd.DataFrame(own + log, columns=["step", "entity_type", "a", "b", "root"])
 
     done = cut(part.groupBy("part").cogroup(moves.groupBy("part")).applyInPandas(replay, "step int, entity_type string, a string, b string, root string"))
-    return done.filter("step = -1").select("entity_type", F.col("a").alias("key"), "root"), done.filter("step >= 0").select("step", "entity_type", "a", "b")
+    alone = keys.join(labels, "node", "left_anti").select("entity_type", "key", F.col("key").alias("root"))
+    return alone.unionByName(done.filter("step = -1").select("entity_type", F.col("a").alias("key"), "root")), done.filter("step >= 0").select("step", "entity_type", "a", "b")
 
 
 def entities(obs: DataFrame, roots: DataFrame) -> DataFrame:
@@ -103,7 +137,21 @@ def entities(obs: DataFrame, roots: DataFrame) -> DataFrame:
         F.min("cin").alias("cin"), F.bool_or("listed").alias("listed"), F.min(F.when(F.col("listed"), F.struct((-F.col("n")).alias("n"), "raw")))["raw"].alias("listed_as"),
     ).join(best, group)
     rows = rows.withColumn("name", F.coalesce("listed_as", "heaviest"))
-    return numbered(rows).select("entity_id", "name", "entity_type", "variants", "keys", "cin", "listed")
+    return numbered(rows).select("entity_id", "name", "entity_type", "variants", "keys", "cin", "listed", "root")
+
+
+def entity_map(obs: DataFrame, roots: DataFrame, found: DataFrame) -> DataFrame:
+    """raw, filed_type, entity_id of every name as filed."""
+    return obs.join(roots, ["entity_type", "key"]).join(found.select("entity_type", "root", "entity_id"), ["entity_type", "root"]).select("raw", "filed_type", "entity_id")
+
+
+def entity_of(names: DataFrame, raw: str, filed_type: str | None = None) -> str:
+    """The entity of one name in an entity_map; KeyError if it was not filed, or under both types for different entities and none is given."""
+    rows = names.filter(F.col("raw") == raw)
+    rows = (rows if filed_type is None else rows.filter(F.col("filed_type") == filed_type)).select("entity_id").distinct().take(2)
+    if len(rows) != 1:
+        raise KeyError(f"{raw!r} is {'no name that was filed' if not rows else 'filed under both types'}")
+    return rows[0].entity_id
 
 
 def numbered(rows: DataFrame) -> DataFrame:
@@ -112,34 +160,50 @@ def numbered(rows: DataFrame) -> DataFrame:
     return rows.withColumn("entity_id", F.concat(F.lit("E"), F.lpad(F.col("place").cast("string"), F.length(F.col("total").cast("string")) + 1, "0")))
 
 
-def segments_of(key: Column, r: Column) -> Column:
-    """Pass-join: key cut into r + 1 even parts, as (number, begin, part)."""
-    edge = lambda i: F.floor(i * F.length(key) / (r + 1)).cast("int")
-    return F.transform(F.sequence(F.lit(0), r), lambda i: F.struct(i.alias("i"), edge(i).alias("begin"), key.substr(edge(i) + 1, edge(i + 1) - edge(i)).alias("part")))
+def spread_over(spark: SparkSession) -> int:
+    """Tasks for work that is much for its bytes."""
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def letter_signature(key: Column) -> list[Column]:
+    """Two longs with a bit for each (letter, how often it has occurred so far). An edit changes at most one such pair on either
+    side, so keys within distance r differ in at most 2 r bits."""
+    letters = F.transform(F.sequence(F.lit(1), F.length(key)), lambda i: key.substr(i, F.lit(1)))
+    nth = F.transform(letters, lambda c, i: F.pmod(F.xxhash64(c, F.size(F.filter(F.slice(letters, F.lit(1), i + 1), lambda d: d == c))), F.lit(128)))
+    bits = lambda low: F.aggregate(F.filter(nth, lambda h: (h >= low) & (h < low + 64)), F.lit(0).cast("long"), lambda done, h: done.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), (h - low).cast("int"))))
+    return [bits(0), bits(64)]
 
 
 def near_pairs(keys: DataFrame) -> DataFrame:
-    """a, b, distance: keys b within edit distance max(1, length(a) // 5) of a, without comparing all pairs.
+    """a, b, distance: keys b within edit distance r = max(1, length(a) // 5) of a, without comparing all pairs.
 
-    A key within distance r holds one of the r + 1 parts of the other unchanged, moved by at most r places: the join is on
-    (length, r, part number, part), and candidates are verified.
+    Pass-join: b is cut into r + 1 even parts, one of which a must hold unchanged. Part i can only have moved by as many places as errors
+    fit to its left (i) and, seen from the end, to its right (r - i), so a offers few places to it. The join is on (r, length of b, i,
+    part). Candidates whose letters differ too much are dropped by their signatures, the others are verified with the distance bounded by r; a
+    pair that several parts find is verified each time and then made distinct, as most candidates are found by one part and fail.
     """
-    keys = keys.select("key").filter("key != ''").distinct()
-    radius = lambda n: F.greatest(F.lit(1), F.floor(n / 5)).cast("int")
+    # keys are few and the work on each is much, so parts are counted, not left to their size
+    parts = spread_over(keys.sparkSession)
+    keys = keys.select("key").filter("key != ''").distinct().repartition(parts, "key").select("key", *[s.alias(f"sig{i}") for i, s in enumerate(letter_signature(F.col("key")))])
+    size, radius = F.length("key"), lambda n: F.greatest(F.lit(1), F.floor(n / 5)).cast("int")
+    edge = lambda i, n: F.floor(i * n / (F.col("r") + 1)).cast("int")
     # b is indexed for every radius that an a of a fitting length can have
-    size = F.length("key")
-    lengths = F.sequence(F.greatest(F.lit(1), F.floor(size * 5 / 6 - 2).cast("int")), F.ceil(size * 5 / 4 + 2).cast("int"))
-    radii = F.array_distinct(F.transform(lengths, lambda n: radius(n)))
-    b = keys.select(F.col("key").alias("b"), F.explode(radii).alias("r")).select("b", "r", F.length("b").alias("n"), F.explode(segments_of(F.col("b"), F.col("r"))).alias("s"))
-    b = b.select("b", "r", "n", F.col("s.i").alias("i"), F.col("s.part").alias("part"))
-    a = keys.select(F.col("key").alias("a"), radius(F.length("key")).alias("r"))
-    a = a.select("a", "r", F.explode(F.sequence(F.greatest(F.lit(1), F.length("a") - F.col("r")), F.length("a") + F.col("r"))).alias("n"))
-    a = a.select("a", "r", "n", F.explode(F.sequence(F.lit(0), F.col("r"))).alias("i"))
-    begin, end = F.floor(F.col("i") * F.col("n") / (F.col("r") + 1)).cast("int"), F.floor((F.col("i") + 1) * F.col("n") / (F.col("r") + 1)).cast("int")
-    a = a.select("a", "r", "n", "i", (end - begin).alias("w"), F.explode(F.sequence(begin - F.col("r"), begin + F.col("r"))).alias("at"))
-    a = a.filter((F.col("at") >= 0) & (F.col("at") + F.col("w") <= F.length("a"))).select("a", "r", "n", "i", F.col("a").substr(F.col("at") + 1, F.col("w")).alias("part")).distinct()
-    pairs = a.join(b, ["r", "n", "i", "part"]).filter("a != b").select("a", "b", "r").distinct()
-    return pairs.withColumn("distance", F.levenshtein("a", "b")).filter("distance <= r").select("a", "b", "distance")
+    fitting = F.sequence(F.greatest(F.lit(1), F.floor(size * 5 / 6 - 2).cast("int")), F.ceil(size * 5 / 4 + 2).cast("int"))
+    b = keys.select(F.col("key").alias("b"), F.col("sig0").alias("b0"), F.col("sig1").alias("b1"), size.alias("n"), F.explode(F.array_distinct(F.transform(fitting, radius))).alias("r"))
+    b = b.select("*", F.explode(F.sequence(F.lit(0), F.col("r"))).alias("i"))
+    b = b.select("b", "b0", "b1", "r", "n", "i", F.col("b").substr(edge(F.col("i"), F.col("n")) + 1, edge(F.col("i") + 1, F.col("n")) - edge(F.col("i"), F.col("n"))).alias("part"))
+    a = keys.select(F.col("key").alias("a"), F.col("sig0").alias("a0"), F.col("sig1").alias("a1"), size.alias("m"), radius(size).alias("r"))
+    a = a.select("*", F.explode(F.sequence(F.greatest(F.lit(1), F.col("m") - F.col("r")), F.col("m") + F.col("r"))).alias("n")).select("*", F.explode(F.sequence(F.lit(0), F.col("r"))).alias("i"))
+    a = a.select("*", edge(F.col("i"), F.col("n")).alias("begin"), (edge(F.col("i") + 1, F.col("n")) - edge(F.col("i"), F.col("n"))).alias("w"), (F.col("m") - F.col("n")).alias("longer"))
+    left, right = F.col("i"), F.col("r") - F.col("i")
+    low = F.greatest(F.lit(0), F.col("begin") - left, F.col("begin") + F.col("longer") - right)
+    high = F.least(F.col("m") - F.col("w"), F.col("begin") + left, F.col("begin") + F.col("longer") + right)
+    a = a.select("*", F.explode(F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))).alias("at"))
+    a = a.select("a", "a0", "a1", "r", "n", "i", F.col("a").substr(F.col("at") + 1, F.col("w")).alias("part"))
+    apart = F.bit_count(F.col("a0").bitwiseXOR(F.col("b0"))) + F.bit_count(F.col("a1").bitwiseXOR(F.col("b1")))
+    on = ["r", "n", "i", "part"]
+    pairs = a.repartition(parts, *on).join(b.repartition(parts, *on), on).filter("a != b").filter(apart <= 2 * F.col("r")).select("a", "b", F.expr("levenshtein(a, b, r)").alias("distance"))
+    return pairs.filter("distance >= 0").distinct()
 
 
 def prefix_distance(query: Column, key: Column) -> Column:
@@ -150,7 +214,7 @@ def prefix_distance(query: Column, key: Column) -> Column:
 def lookup(keys: DataFrame, query: str, limit: int = 5) -> DataFrame:
     """The `limit` best entities for a free text, over keys(key, entity_type, entity_id): equal, beginning with it, then near by distance and length."""
     text = query.strip()
-    asked = keys.sparkSession.createDataFrame([(text,)], "raw string").select(F.col("raw"), holding_entity("raw")["name"].alias("name"))
+    asked = with_entity(keys.sparkSession.createDataFrame([(text,)], "raw string"), "raw").select("raw", "held_as.name")
     asked = asked.select(F.when(match_key(F.col("name")) != "", match_key(F.col("name"))).otherwise(match_key(F.col("raw"))).alias("q")).filter("q != ''")
     rows = keys.join(F.broadcast(asked))
     r = F.greatest(F.lit(1), F.floor(F.length("q") * 0.2)).cast("int")

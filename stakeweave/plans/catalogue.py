@@ -119,11 +119,6 @@ def chain_report(spark, sf_dir):
     return report.chain_report(*network(spark, sf_dir)).select("company", "chain_ids", "effective_pct", "end_reason", "chain")
 
 
-@query()
-def control_depth(spark, sf_dir):
-    return report.anomaly_report(*network(spark, sf_dir))["control_depth"]
-
-
 LEVELS = o.ctes(o.BASE, o.LEVELS)
 
 
@@ -142,17 +137,6 @@ def depth_distribution(spark, sf_dir):
     return reachable(spark, sf_dir).groupBy("depth").agg(F.count("*").alias("companies"))
 
 
-@query(o.ctes(o.BASE, o.walks(), o.LEVELS) + f"SELECT c.company, c.owner, l.level AS control_depth, r.layers, r.path FROM (SELECT *, row_number() OVER (PARTITION BY company ORDER BY round(total, 8) DESC, owner) AS rank FROM owners) c JOIN levels l ON l.company = c.company AND l.entity = c.owner JOIN ({ROUTES}) r ON r.company = c.company AND r.owner = c.owner AND r.rank = 1 WHERE c.rank = 1 AND l.level >= 2")
-def deep_chains(spark, sf_dir):
-    nodes, e = network(spark, sf_dir)
-    found = cut(net.chains(nodes, e))
-    top = net.ranked_owners(found).filter("rank = 1").select("company", "owner")
-    route = net.ranked_chains(found.filter(F.col("end_reason").isin(*net.OWNER_ENDS))).withColumnRenamed("terminal", "owner")
-    first = route.withColumn("own", F.row_number().over(Window.partitionBy("company", "owner").orderBy("rank"))).filter("own = 1")
-    deep = top.join(net.levels(e).withColumnRenamed("entity", "owner"), ["company", "owner"]).filter("level >= 2").join(first, ["company", "owner"])
-    return deep.select("company", "owner", F.col("level").alias("control_depth"), F.col("layers").cast("long").alias("layers"), F.concat_ws(">", "path").alias("path"))
-
-
 @query(R + "SELECT id FROM nodes WHERE id NOT IN (SELECT held FROM owned)")
 def no_recorded_owner(spark, sf_dir):
     nodes, e = derived.network(spark, sf_dir)
@@ -360,14 +344,7 @@ def token_df(spark, sf_dir):
 SELECT a, b, least(3, CAST(floor(4 * j) AS INTEGER)) AS band FROM (SELECT DISTINCT s.key AS a, t.key AS b, len(list_intersect(list_distinct(string_split(s.key, ' ')), list_distinct(string_split(t.key, ' ')))) / len(list_distinct(list_concat(string_split(s.key, ' '), string_split(t.key, ' ')))) AS j
 FROM tok s JOIN rare USING (token) JOIN tok t ON t.token = s.token AND s.key < t.key)""")
 def jaccard_bands(spark, sf_dir):
-    keys = _keys(spark, sf_dir)
-    tok = keys.select("key", F.explode(F.array_distinct(F.split("key", " "))).alias("token")).filter(F.length("token") >= 3)
-    rare = tok.groupBy("token").agg(F.count("*").alias("df")).filter("df <= 10").select("token")
-    own = tok.join(rare, "token")
-    pairs = own.toDF("token", "a").join(own.toDF("token", "b"), "token").filter("a < b").select("a", "b").distinct()
-    x, y = F.split("a", " "), F.split("b", " ")
-    j = F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y))
-    return pairs.select("a", "b", F.least(F.lit(3), F.floor(4 * j).cast("int")).alias("band"))
+    return evaluate.candidate_pool(_keys(spark, sf_dir))
 
 
 @query(NAMED + "SELECT key FROM keyed WHERE starts_with(key, 'small')")
@@ -380,65 +357,11 @@ def fuzzy_prefix(spark, sf_dir):
     return _keys(spark, sf_dir).select("key", resolve.prefix_distance(F.lit("smal rong"), F.col("key")).alias("distance")).filter("distance <= 2")
 
 
-@query(NAMED + f""", u AS (SELECT DISTINCT raw, CASE WHEN contains(raw, ', Trustee of ') THEN 'trustee_of' ELSE 'as_filed' END AS rule FROM filed) SELECT rule, count(*) AS names FROM u GROUP BY rule""")
-def capacity_rules(spark, sf_dir):
-    return _raws(spark, sf_dir).select(names.holding_entity("raw")["rule"].alias("rule")).groupBy("rule").agg(F.count("*").alias("names"))
-
-
-def _resolved(spark, sf_dir):
-    obs = cut(resolve.observations(derived.filed_names(spark, sf_dir)))
-    roots, log = resolve.merged(obs, cut(resolve.merge_candidates(obs)))
-    return obs, roots, log
-
-
-@query()
-def resolve_entities(spark, sf_dir):
-    obs, roots, _ = _resolved(spark, sf_dir)
-    return resolve.entities(obs, roots)
-
-
-@query()
-def merge_log(spark, sf_dir):
-    return _resolved(spark, sf_dir)[2]
-
-
-@query()
-def lookup(spark, sf_dir):
-    e = resolve_entities(spark, sf_dir).select("entity_id", "entity_type", F.explode("keys").alias("key"))
-    return resolve.lookup(e, "smal ring")
-
-
-@query(o.ctes(o.BASE, o.NAMES, o.RESOLVED) + "SELECT raw, filed_type, etype AS entity_type, key, root FROM resolved")
-def resolved_names(spark, sf_dir):
-    obs, roots, _ = _resolved(spark, sf_dir)
-    return obs.select("raw", "filed_type", "entity_type", "key").join(roots, ["entity_type", "key"])
-
-
-@query(o.ctes(o.BASE, o.NAMES, o.RESOLVED) + "SELECT etype AS entity_type, count(*) AS variants, count(DISTINCT key) AS keys, count(DISTINCT root) AS entities FROM resolved GROUP BY etype")
-def resolution_stats(spark, sf_dir):
-    return resolved_names(spark, sf_dir).groupBy("entity_type").agg(F.count("*").alias("variants"), F.countDistinct("key").alias("keys"), F.countDistinct("root").alias("entities"))
-
-
 @query(NAMED + ", w AS (SELECT unnest([1, 2, 3, 4, 5, 6]) AS width) SELECT width, count(*) AS comparisons, count(*) FILTER (replace(a.key, ' ', '') = replace(b.key, ' ', '')) AS matches FROM w JOIN keyed a ON true JOIN keyed b ON starts_with(b.key, a.key[1:width]) AND a.key < b.key GROUP BY width")
 def blocking_counts(spark, sf_dir):
     return evaluate.blocking_counts(_keys(spark, sf_dir).withColumn("entity_type", F.lit("x")))
 
 
-@query(o.ctes(o.BASE, o.NAMES) + """, p AS (SELECT a.raw AS a, b.raw AS b FROM raws a JOIN raws b ON a.raw < b.raw AND regexp_extract(a.raw, '[0-9]+') = regexp_extract(b.raw, '[0-9]+')),
-j AS (SELECT lower(regexp_extract(a, '(?i)[a-z]+ [a-z]+ [0-9]+')) = lower(regexp_extract(b, '(?i)[a-z]+ [a-z]+ [0-9]+')) AS truth, """ + f"{o.key('a')} = {o.key('b')}" + """ AS found FROM p)
-SELECT count(*) FILTER (truth AND found) AS tp, count(*) FILTER (NOT truth AND found) AS fp, count(*) FILTER (truth AND NOT found) AS fn, count(*) FILTER (NOT truth AND NOT found) AS tn FROM j""")
-def er_scores(spark, sf_dir):
-    base = F.lower(F.regexp_extract("raw", "(?i)[a-z]+ [a-z]+ [0-9]+", 0))
-    rows = cut(_raws(spark, sf_dir).select("raw", F.regexp_extract("raw", "[0-9]+", 0).alias("n"), base.alias("base"), names.match_key(F.col("raw")).alias("key")))
-    pairs = rows.toDF("a", "n", "base_a", "key_a").join(rows.toDF("b", "n", "base_b", "key_b"), "n").filter("a < b")
-    return evaluate.scores(pairs.select((F.col("base_a") == F.col("base_b")).alias("truth"), (F.col("key_a") == F.col("key_b")).alias("found"))).select("tp", "fp", "fn", "tn")
-
-
-@query()
-def threshold_sweep(spark, sf_dir):
-    return evaluate.threshold_sweep(block_pairs(spark, sf_dir))
-
-
 @query()
 def back_edges(spark, sf_dir):
     return cycles.back_edges(network(spark, sf_dir)[1])
@@ -458,43 +381,12 @@ def owner_subgraph(spark, sf_dir):
 
 # rows
 
-ROWS = """
-cells AS (SELECT holder, held, (holder_id * 7 + held_id) % 26 AS k, stake_bp FROM rel),
-verdict AS (SELECT holder, held, CASE WHEN k = 0 THEN 'holder_name is empty' WHEN k = 12 THEN 'entity_type is unknown' WHEN k = 1 THEN 'holder_name has no name'
-  WHEN k IN (4, 5, 6) THEN 'stake_pct is not a number' WHEN k IN (9, 10, 11) THEN 'filing_date is not a date' WHEN k IN (14, 15) THEN 'shares_held is not a count' WHEN k = 17 THEN 'as_on_date is not a date' WHEN k = 2 THEN 'holder_name has a control character' END AS failure,
-  CASE WHEN k IN (7, 8) THEN 'stake_out_of_range' WHEN k = 3 THEN 'self_ownership' END AS flag FROM cells),
-judged AS (SELECT holder, held, CASE WHEN failure IS NOT NULL THEN 'rejected' WHEN flag IS NOT NULL THEN 'flagged' ELSE 'loaded' END AS outcome, coalesce(failure, flag, '') AS message FROM verdict)"""
 
-
-@query(o.ctes(o.BASE, ROWS) + "SELECT holder, held, outcome, message FROM judged")
+@query(o.ctes(o.BASE, o.ROWS) + "SELECT holder, held, outcome, message FROM judged")
 def validate_rows(spark, sf_dir):
     return ingest.validated(derived.filed_rows(spark, sf_dir)).select("holder", "held", "outcome", F.coalesce("message", F.lit("")).alias("message"))
 
 
-@query(o.ctes(o.BASE, ROWS) + "SELECT outcome, message, count(*) AS n FROM judged GROUP BY ALL")
-def ingest_summary(spark, sf_dir):
-    return ingest.summary(ingest.validated(derived.filed_rows(spark, sf_dir))).select("outcome", "message", F.col("rows").alias("n"))
-
-
-@query("SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rank FROM orders) WHERE rank = 1")
-def latest_filing(spark, sf_dir):
-    rank = F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey")))
-    return derived.table(spark, sf_dir, "orders").withColumn("rank", rank).filter("rank = 1").select("o_custkey", "o_orderkey", "o_totalprice")
-
-
-@query(R + "SELECT holder, held, role, stake_bp FROM (SELECT *, row_number() OVER (PARTITION BY lower(holder), lower(held), role ORDER BY stake_bp DESC) AS rank FROM rel) WHERE rank = 1")
-def dedupe_first(spark, sf_dir):
-    rank = F.row_number().over(Window.partitionBy(F.lower("holder"), F.lower("held"), "role").orderBy(F.desc("stake_bp")))
-    return derived.relations(spark, sf_dir).withColumn("rank", rank).filter("rank = 1").select("holder", "held", "role", "stake_bp")
-
-
-@query(NAMED + "SELECT DISTINCT raw, CASE WHEN contains(lower(raw), 'small') THEN 'small' WHEN contains(lower(raw), 'red') THEN 'red' ELSE 'hot' END AS anchor FROM filed WHERE regexp_matches(lower(raw), 'small|red|hot')")
-def scope_filter(spark, sf_dir):
-    low = F.lower("raw")
-    anchor = F.coalesce(*[F.when(F.contains(low, F.lit(a)), a) for a in ("small", "red", "hot")])
-    return _raws(spark, sf_dir).withColumn("anchor", anchor).filter("anchor is not null")
-
-
 @query(o.ctes(o.BASE, o.NAMES, TOKENS) + "SELECT s.a, s.b FROM (SELECT x.key AS a, y.key AS b FROM keyed x JOIN keyed y ON x.key < y.key AND levenshtein(x.key, y.key) <= greatest(1, len(x.key) // 5)) s EXCEPT SELECT a, b FROM pairs")
 def missed_pairs(spark, sf_dir):
     keys = _keys(spark, sf_dir)
@@ -507,7 +399,7 @@ def systematic_sample(spark, sf_dir):
     return placed(rows, F.col("id")).filter("(place - 1) % 7 = 0").select("id")
 
 
-@query(R + "SELECT round(regr_slope(ln(n), ln(d)), 6) AS slope, round(sum(n * d) / sum(d * d), 6) AS through_origin FROM (SELECT held, count(*) AS n, sum(stake) AS d FROM edges GROUP BY held)")
+@query(R + "SELECT round(regr_slope(ln(n), ln(d)), 6) AS slope, round(regr_r2(ln(n), ln(d)), 6) AS r_squared, round(sum(n * d) / sum(d * d), 6) AS through_origin FROM (SELECT held, count(*) AS n, sum(stake) AS d FROM edges GROUP BY held)")
 def loglog_slope(spark, sf_dir):
     per = derived.network(spark, sf_dir)[1].groupBy("held").agg(F.count("*").alias("n"), F.sum("stake").alias("d"))
-    return per.agg(F.round(F.regr_slope(F.log("n"), F.log("d")), 6).alias("slope"), F.round(F.sum(F.col("n") * F.col("d")) / F.sum(F.col("d") * F.col("d")), 6).alias("through_origin"))
+    return per.agg(F.round(F.regr_slope(F.log("n"), F.log("d")), 6).alias("slope"), F.round(F.regr_r2(F.log("n"), F.log("d")), 6).alias("r_squared"), F.round(F.sum(F.col("n") * F.col("d")) / F.sum(F.col("d") * F.col("d")), 6).alias("through_origin"))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .iterate import cut
 from .network import least_labels, trimmed
@@ -43,3 +45,13 @@ def back_edges(edges: DataFrame) -> DataFrame:
         return pd.DataFrame(found, columns=["holder", "held", "cycle"])
 
     return rows.groupBy("part").applyInPandas(search, "holder string, held string, cycle array<string>")
+
+
+def example_cycles(edges: DataFrame, strong: DataFrame, most: int = 5) -> DataFrame:
+    """component, place, cycle, loop_stake: of each circular group the `most` back edges' cycles with the largest product of stakes."""
+    found = cut(back_edges(edges).withColumn("id", F.concat_ws("\u0001", "holder", "held")))
+    steps = found.select("id", F.explode(F.sequence(F.lit(1), F.size("cycle") - 1)).alias("i"), "cycle").select("id", F.element_at("cycle", F.col("i")).alias("holder"), F.element_at("cycle", F.col("i") + 1).alias("held"))
+    strength = steps.join(edges.select("holder", "held", "stake"), ["holder", "held"]).groupBy("id").agg(F.product("stake").alias("loop_stake"))
+    rows = found.join(strength, "id").join(strong.select(F.col("node").alias("holder"), "component"), "holder")
+    place = F.row_number().over(Window.partitionBy("component").orderBy(F.desc(F.round("loop_stake", 12)), F.concat_ws(">", "cycle")))
+    return rows.withColumn("place", place).filter(F.col("place") <= most).select("component", "place", F.concat_ws(">", "cycle").alias("cycle"), "loop_stake")

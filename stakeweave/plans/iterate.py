@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -15,22 +16,35 @@ _LOCAL: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that spark.checkpoint.dir names. Where none is set a local one, but only if driver and executors are one process."""
+    context = spark.sparkContext
+    found = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
-    if not _LOCAL:  # only where no folder is set, as in tests
+    if not re.match(r"local(\[|$)", context.master):
+        raise RuntimeError(f"set spark.checkpoint.dir to a folder that all machines share: the master is {context.master}")
+    if not _LOCAL:
         _LOCAL.append(tempfile.mkdtemp(prefix="stakeweave-"))
         atexit.register(shutil.rmtree, _LOCAL[0], True)
     return f"file://{_LOCAL[0]}"
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, tag: str = "step") -> DataFrame:
     """df, written and read back: survives lost executors, and plans stay as small as one step."""
-    path = f"{shared_dir(df.sparkSession)}/stakeweave/step-{uuid.uuid4().hex}"
+    path = f"{shared_dir(df.sparkSession)}/stakeweave/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dropped(*tables: DataFrame) -> None:
+    """Delete the files of cut() tables that nothing reads any more."""
+    for df in tables:
+        context = df.sparkSession.sparkContext
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = context._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def some(df: DataFrame) -> bool:
     return bool(df.limit(1).count())
 

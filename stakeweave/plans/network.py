@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .iterate import cut, some
+from .iterate import cut, dropped, some
 
 PROMOTERS = ("Promoter", "Promoter Group")
 OWNER_ENDS = ("no_recorded_owner", "natural_person")
@@ -23,31 +23,36 @@ def fixed(c: Column | str, places: int) -> Column:
     return F.round((F.col(c) if isinstance(c, str) else c) + (1e-13 if places > 6 else 1e-11), places)
 
 
-def chains(nodes: DataFrame, edges: DataFrame, least: float = 0.0001, deepest: int = 200) -> DataFrame:
+def chains(nodes: DataFrame, edges: DataFrame, least: float = 0.0001, deepest: int = 200, most: int = 10**10) -> DataFrame:
     """Every ownership chain upward: company, path (company first), effective, layers, terminal, end_reason.
 
     A step whose product of stakes is below `least` goes; an owner on the path ends it as circular, a person or
     an owner without owners ends it as such; a chain that cannot go on for the threshold is below_threshold.
+
+    Without a threshold the simple paths of a dense cyclic core grow exponentially with its size: `most` rows of a step are the
+    guard, beyond which ArithmeticError is raised before the next step (integrated() answers the same question in a few steps).
     """
-    persons = nodes.filter("entity_type = 'individual'").select(F.col("id").alias("tip"), F.lit(True).alias("person"))
-    owned = edges.select(F.col("held").alias("tip")).distinct().withColumn("owned", F.lit(True))
-    steps = edges.select(F.col("held").alias("at"), F.col("holder").alias("tip"), "stake")
-    front = edges.select(F.col("held").alias("company")).distinct()
+    persons = nodes.filter("entity_type = 'individual'").select(F.col("id").alias("holder"), F.lit("natural_person").alias("person"))
+    owned = edges.select(F.col("held").alias("holder")).distinct().withColumn("owned", F.lit(True))
+    # what an owner ends a chain as, if it is not on it yet, stands on its edges
+    ends = edges.select("holder", "held", "stake").join(persons, "holder", "left").join(owned, "holder", "left")
+    steps = cut(ends.select(F.col("held").alias("at"), F.col("holder").alias("tip"), "stake", F.coalesce("person", F.when(F.col("owned").isNull(), "no_recorded_owner")).alias("end")))
+    front = steps.select(F.col("at").alias("company")).distinct()
     front = front.select("company", F.array("company").alias("path"), F.lit(1.0).alias("effective"), F.col("company").alias("at"))
     out = []
     for _ in range(deepest):
         seen = front.join(steps, "at").withColumn("effective", F.col("effective") * F.col("stake")).filter(F.col("effective") >= least)
-        seen = seen.join(persons, "tip", "left").join(owned, "tip", "left")
-        reason = (
-            F.when(F.array_contains("path", F.col("tip")), "circular").when(F.col("person"), "natural_person").when(F.col("owned").isNull(), "no_recorded_owner")
-        )
+        reason = F.when(F.array_contains("path", F.col("tip")), "circular").otherwise(F.col("end"))
         seen = cut(seen.select("company", F.col("path").alias("before"), F.concat("path", F.array("tip")).alias("path"), "effective", "tip", reason.alias("end_reason")))
         stopped = front.filter(F.size("path") > 1).join(seen.select(F.col("before").alias("path")).distinct(), "path", "left_anti")
         out.append(stopped.select("company", "path", "effective", F.lit("below_threshold").alias("end_reason")))
         out.append(seen.filter("end_reason is not null").select("company", "path", "effective", "end_reason"))
         front = seen.filter("end_reason is null").select("company", "path", "effective", F.col("tip").alias("at"))
-        if not some(front):
+        left = front.count()
+        if not left:
             break
+        if left > most:
+            raise ArithmeticError(f"{left} open chains after {len(out) // 2} layers: choose a higher threshold")
     else:
         raise RuntimeError(f"chains longer than {deepest} layers")
     every = reduce(DataFrame.unionByName, out)
@@ -94,8 +99,10 @@ def least_labels(pairs: DataFrame, nodes: DataFrame, limit: int = 200) -> DataFr
         step = labels.join(near, "node", "left").withColumn("best", F.least("component", F.coalesce("near", "component")))
         far = labels.toDF("best", "far")
         new = cut(step.join(far, "best", "left").select("node", F.least("best", F.coalesce("far", "best")).alias("now"), "component"))
+        dropped(labels)
         labels = new.select("node", F.col("now").alias("component"))
         if not some(new.filter("now != component")):
+            dropped(both)
             return labels
     raise RuntimeError("components have not settled")
 
@@ -121,8 +128,10 @@ def trimmed(edges: DataFrame) -> DataFrame:
     """Edges (holder, held) left after repeatedly removing nodes without an owner or without a holding."""
     left, n = cut(edges.select("holder", "held").distinct()), -1
     while (now := left.count()) != n:
-        n = now
-        left = cut(left.join(left.select(F.col("held").alias("holder")).distinct(), "holder", "left_semi").join(left.select(F.col("holder").alias("held")).distinct(), "held", "left_semi").select("holder", "held"))
+        n, old = now, left
+        owned, owning = left.select(F.col("held").alias("holder")).distinct(), left.select(F.col("holder").alias("held")).distinct()
+        left = cut(left.join(owned, "holder", "left_semi").join(owning, "held", "left_semi").select("holder", "held"))
+        dropped(old)
     return left
 
 
@@ -141,7 +150,9 @@ def strong_components(edges: DataFrame) -> DataFrame:
         found = cut(same.join(sizes, "component").select("node", "component"))
         settled = cut(same.select("node"))
         done = found if done is None else done.unionByName(found)
+        old = core
         core = trimmed(core.join(settled.toDF("holder"), "holder", "left_anti").join(settled.toDF("held"), "held", "left_anti"))
+        dropped(old, ahead, behind, settled)
     return edges.select(F.col("held").alias("node"), F.col("held").alias("component")).limit(0) if done is None else done
 
 
@@ -152,6 +163,7 @@ def spread(edges: DataFrame, source: str, target: str, limit: int = 100_000) ->
     for _ in range(limit):
         near = steps.join(labels, "node").groupBy(F.col("to").alias("node")).agg(F.min("label").alias("near"))
         new = cut(labels.join(near, "node", "left").select("node", F.least("label", F.coalesce("near", "label")).alias("now"), "label"))
+        dropped(labels)
         labels = new.select("node", F.col("now").alias("label"))
         if not some(new.filter("now != label")):
             return labels
@@ -162,7 +174,8 @@ def integrated(edges: DataFrame, least: float = 1e-15, limit: int = 10_000) -> D
     """company, owner, stake: x = sum over paths upward that do not pass the company again, loops included, for all companies.
 
     x_company = 1; x_v = sum over its holdings w of s(v, w) x_w for v other than the company. Walk weights are carried
-    step by step until all are below `least`; a network whose walks don't fade raises ArithmeticError.
+    step by step; a weight below `least` is not carried on, so a stake may miss at most that much for each step and entity. A network
+    whose walks don't fade raises ArithmeticError.
     """
     steps = edges.select(F.col("held").alias("at"), F.col("holder").alias("owner"), "stake")
     front = cut(edges.select(F.col("held").alias("company")).distinct().select("company", F.col("company").alias("at"), F.lit(1.0).alias("x")))

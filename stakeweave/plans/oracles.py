@@ -77,17 +77,18 @@ def key(expr: str) -> str:
 
 
 NAMES = """
-parts AS (SELECT p_partkey AS key, p_name || ' ' || p_partkey AS base FROM part),
+parts AS (SELECT p_partkey AS key, p_name || ' ' || p_partkey AS base, CASE WHEN len(string_split(p_name, ' ')[-1]) >= 5 THEN p_name[:-2] ELSE p_name END || ' ' || p_partkey AS slip FROM part),
 people AS (SELECT 'C' || c_custkey AS holder FROM customer WHERE c_mktsegment IN ('HOUSEHOLD', 'FURNITURE')),
-filed AS MATERIALIZED (SELECT CASE (holder_id + held_id) % 6 WHEN 0 THEN base || ' Ltd' WHEN 1 THEN base || ' LIMITED' WHEN 2 THEN base || ' Pvt. Ltd.' WHEN 3 THEN upper(base) WHEN 4 THEN 'Mr ' || base ELSE base || ', Trustee of ' || base || ' Trust' END AS raw,
-    CASE WHEN holder IN (SELECT holder FROM people) THEN 'individual' ELSE 'corporate' END AS filed_type, false AS listed FROM rel JOIN parts ON key = holder_id
-  UNION ALL SELECT base || ' Company Ltd', 'corporate', true FROM rel JOIN parts ON key = held_id),
+frel AS MATERIALIZED (SELECT CASE (holder_id + held_id) % 6 WHEN 0 THEN p.base || ' Ltd' WHEN 1 THEN p.base || ' LIMITED' WHEN 2 THEN p.base || ' Pvt. Ltd.' WHEN 3 THEN upper(p.slip) WHEN 4 THEN 'Mr ' || p.base ELSE p.base || ', Trustee of ' || p.base || ' Trust' END AS holder_name,
+    CASE WHEN holder IN (SELECT holder FROM people) THEN 'individual' ELSE 'corporate' END AS filed_type, h.base || ' Company Ltd' AS held_name, stake_bp, role, (held_id * 1000000 + holder_id) * 2 + CAST(holder[1] = 'C' AS INTEGER) AS line
+  FROM rel JOIN parts p ON p.key = holder_id JOIN parts h ON h.key = held_id),
+filed AS MATERIALIZED (SELECT holder_name AS raw, filed_type, false AS listed FROM frel UNION ALL SELECT held_name, 'corporate', true FROM frel),
 raws AS MATERIALIZED (SELECT DISTINCT raw FROM filed),
 keyed AS MATERIALIZED (SELECT DISTINCT {key} AS key FROM raws)""".replace("{key}", key("raw"))
 
 RESOLVED = """
 told AS (SELECT DISTINCT raw, filed_type, CASE WHEN contains(raw, ', Trustee of ') THEN 'corporate' ELSE filed_type END AS etype, CASE WHEN contains(raw, ', Trustee of ') THEN regexp_extract(raw, ', Trustee of (.*)$', 1) ELSE raw END AS held_as FROM filed),
-tk AS MATERIALIZED (SELECT raw, filed_type, etype, {key} AS key FROM told),
+tk AS MATERIALIZED (SELECT raw, filed_type, etype, trim(held_as, ' ,.-') AS name, {key} AS key FROM told),
 tkey AS MATERIALIZED (SELECT DISTINCT etype, key FROM tk),
 tpair AS (SELECT a.etype, a.key AS a, b.key AS b, string_split(a.key, ' ') AS x, string_split(b.key, ' ') AS y FROM tkey a JOIN tkey b ON a.etype = b.etype AND starts_with(b.key, a.key[1:3]) AND a.key < b.key),
 tword AS (SELECT etype, a, b, x, x[i] AS p, y[i] AS q FROM (SELECT *, unnest(range(1, len(x) + 1)) AS i FROM tpair WHERE len(x) = len(y))),
@@ -97,3 +98,22 @@ tlink AS (SELECT etype, a, b FROM tword GROUP BY etype, a, b, x HAVING bool_and(
 tsym AS (SELECT etype, a, b FROM tlink UNION SELECT etype, b, a FROM tlink),
 treach AS (SELECT etype, key AS a, key AS b FROM tkey UNION SELECT r.etype, r.a, s.b FROM treach r JOIN tsym s ON s.etype = r.etype AND s.a = r.b),
 resolved AS (SELECT tk.*, m.root FROM tk JOIN (SELECT etype, a AS key, min(b) AS root FROM treach GROUP BY ALL) m USING (etype, key))""".replace("{key}", key("held_as"))
+
+
+ENTITIES = """
+own AS (SELECT r.*, n, listed, len(name) - len(replace(name, ' ', '')) AS spaces FROM resolved r JOIN (SELECT raw, filed_type, count(*) AS n, bool_or(listed) AS listed FROM filed GROUP BY ALL) USING (raw, filed_type)),
+weights AS (SELECT etype, root, name, row_number() OVER (PARTITION BY etype, root ORDER BY sum(n) DESC, any_value(spaces) DESC, name) AS place FROM own GROUP BY etype, root, name),
+ent0 AS (SELECT etype, root, coalesce((array_agg(raw ORDER BY n DESC, raw) FILTER (listed))[1], max(w.name)) AS name, array_agg(raw ORDER BY n DESC, raw) AS variants, string_agg(DISTINCT key, '|' ORDER BY key) AS keys, bool_or(listed) AS listed
+  FROM own JOIN (SELECT etype, root, name FROM weights WHERE place = 1) w USING (etype, root) GROUP BY etype, root),
+ent AS MATERIALIZED (SELECT *, 'E' || lpad(CAST(row_number() OVER (ORDER BY lower(name), etype, variants[1]) AS VARCHAR), CAST(len(CAST(count(*) OVER () AS VARCHAR)) + 1 AS INTEGER), '0') AS entity_id FROM ent0)"""
+
+BUILT = """
+who AS (SELECT raw, filed_type, entity_id FROM resolved JOIN ent USING (etype, root)),
+told_edges AS MATERIALIZED (SELECT f.*, h.entity_id AS holder_id, t.entity_id AS held_id FROM frel f JOIN who h ON h.raw = f.holder_name AND h.filed_type = f.filed_type JOIN who t ON t.raw = f.held_name AND t.filed_type = 'corporate')"""
+
+ROWS = """
+cells AS (SELECT holder, held, (holder_id * 7 + held_id) % 26 AS k, stake_bp FROM rel),
+verdict AS (SELECT holder, held, CASE WHEN k = 0 THEN 'holder_name is empty' WHEN k = 12 THEN 'entity_type is unknown' WHEN k = 1 THEN 'holder_name has no name'
+  WHEN k IN (4, 5, 6) THEN 'stake_pct is not a number' WHEN k IN (9, 10, 11) THEN 'filing_date is not a date' WHEN k IN (14, 15) THEN 'shares_held is not a count' WHEN k = 17 THEN 'as_on_date is not a date' WHEN k = 2 THEN 'holder_name has a control character' END AS failure,
+  CASE WHEN k IN (7, 8) THEN 'stake_out_of_range' WHEN k = 3 THEN 'self_ownership' END AS flag FROM cells),
+judged AS (SELECT holder, held, CASE WHEN failure IS NOT NULL THEN 'rejected' WHEN flag IS NOT NULL THEN 'flagged' ELSE 'loaded' END AS outcome, coalesce(failure, flag, '') AS message FROM verdict)"""

@@ -51,21 +51,59 @@ def chain_report(nodes: DataFrame, edges: DataFrame, least: float = 0.0001) -> D
     return ranked.select("company", "rank", net.fixed(F.col("effective") * 100, 6).alias("effective_pct"), "layers", "end_reason", "terminal", chain_text(F.col("path"), F.col("stakes")).alias("chain"), F.concat_ws(">", "path").alias("chain_ids"))
 
 
+def control_depth(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """company, owners_reachable, ownership_depth, controller, total, control_depth (layers to the controller; null without one)."""
+    found, levels = cut(net.chains(nodes, edges)), cut(net.levels(edges))
+    depth = levels.groupBy("company").agg((F.count("*") - 1).alias("owners_reachable"), F.max("level").alias("ownership_depth"))
+    top = net.ranked_owners(found).filter("rank = 1").select("company", F.col("owner").alias("controller"), "total")
+    control = levels.select("company", F.col("entity").alias("controller"), F.col("level").alias("control_depth"))
+    return depth.join(top, "company", "left").join(control, ["company", "controller"], "left")
+
+
+def labelled_families(nodes: DataFrame, family: DataFrame) -> DataFrame:
+    """label (F1 for the largest), family, size, listed, natural_persons, members: one row a family is numbered."""
+    rows = family.select("family", F.col("node").alias("id")).join(nodes.select("id", "listed", "entity_type"), "id").groupBy("family").agg(
+        F.count("*").alias("size"), F.array_sort(F.collect_list("id")).alias("members"), F.count_if("listed").alias("listed"), F.count_if(F.col("entity_type") == "individual").alias("natural_persons")
+    )
+    return rows.withColumn("label", F.concat(F.lit("F"), F.row_number().over(Window.orderBy(F.desc("size"), "members")).cast("string")))
+
+
+def owner_rows(nodes: DataFrame, edges: DataFrame, simple: DataFrame, stakes: DataFrame, family: DataFrame) -> DataFrame:
+    """company, owner, owner_type, same_family, integrated_pct, simple_pct, loop_pct of every ultimate owner."""
+    f = family.select("node", "family")
+    rows = net.ultimate_integrated(edges, stakes).join(simple.select("company", "owner", F.col("total").alias("simple")), ["company", "owner"], "left")
+    rows = rows.join(nodes.select(F.col("id").alias("owner"), F.col("entity_type").alias("owner_type")), "owner").join(f.toDF("company", "family"), "company", "left").join(f.toDF("owner", "owner_family"), "owner", "left")
+    added = F.col("stake") - F.coalesce("simple", F.lit(0.0))
+    return rows.select(
+        "company", "owner", "owner_type", F.coalesce(F.col("family") == F.col("owner_family"), F.lit(False)).alias("same_family"), net.fixed(F.col("stake") * 100, 6).alias("integrated_pct"),
+        net.fixed(F.coalesce("simple", F.lit(0.0)) * 100, 6).alias("simple_pct"), net.fixed(F.when(F.abs(added) < 1e-12, 0.0).otherwise(added) * 100, 6).alias("loop_pct"),
+    )
+
+
+def end_histogram(chains: DataFrame) -> DataFrame:
+    """company, ends map<string,bigint>: END_LABELS of how its chains end, with counts."""
+    label = F.coalesce(*[F.when(F.col("end_reason") == k, v) for k, v in END_LABELS.items()])
+    n = chains.groupBy("company", label.alias("label")).agg(F.count("*").alias("n"))
+    return n.groupBy("company").agg(F.map_from_entries(F.collect_list(F.struct("label", "n"))).alias("ends"))
+
+
+def group_subgraph(edges: DataFrame, members: DataFrame) -> DataFrame:
+    """holder, held, circular: the edges between members(node), and those with one end among them."""
+    near = edges.join(members.select(F.col("node").alias("holder"), F.lit(True).alias("from_inside")), "holder", "left").join(members.select(F.col("node").alias("held"), F.lit(True).alias("to_inside")), "held", "left")
+    both = F.col("from_inside").isNotNull() & F.col("to_inside").isNotNull()
+    return near.filter("from_inside is not null OR to_inside is not null").select("holder", "held", both.alias("circular"))
+
+
 def anomaly_report(nodes: DataFrame, edges: DataFrame) -> dict[str, DataFrame]:
-    """circular groups with their inner edges, back edges, control depth and families."""
+    """circular groups with their inner edges, back edges and the strongest cycles, control depth and families."""
     groups = cut(net.strong_components(edges))
     inner = cut(edges.join(groups.toDF("holder", "component"), "holder").join(groups.toDF("held", "component"), ["held", "component"]))
     sizes = groups.groupBy("component").agg(F.count("*").alias("size")).withColumn("id", F.row_number().over(Window.orderBy(F.desc("size"), "component")))  # one row per group
-    found = cut(net.chains(nodes, edges))
-    levels = cut(net.levels(edges))
-    depth = levels.groupBy("company").agg((F.count("*") - 1).alias("owners_reachable"), F.max("level").alias("ownership_depth"))
-    top = net.ranked_owners(found).filter("rank = 1").select("company", F.col("owner").alias("controller"), "total")
-    control = levels.select("company", F.col("entity").alias("controller"), F.col("level").alias("control_depth"))
-    family = net.families(nodes, edges)
     return {
         "circular_groups": sizes.join(inner.groupBy("component").agg(F.count("*").alias("internal_edges"), F.max("stake").alias("strongest")), "component", "left"),
         "strongest_edges": inner.withColumn("place", F.row_number().over(Window.partitionBy("component").orderBy(F.desc("stake"), "holder", "held"))).filter("place <= 5"),
         "back_edges": cycles.back_edges(edges),
-        "control_depth": depth.join(top, "company", "left").join(control, ["company", "controller"], "left"),
-        "families": family.join(nodes.withColumnRenamed("id", "node"), "node").groupBy("family").agg(F.count("*").alias("size"), F.count_if("listed").alias("listed"), F.count_if(F.col("entity_type") == "individual").alias("natural_persons")),
+        "example_cycles": cycles.example_cycles(edges, groups),
+        "control_depth": control_depth(nodes, edges),
+        "families": labelled_families(nodes, net.families(nodes, edges)),
     }

@@ -46,21 +46,32 @@ def network(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return customers.unionByName(suppliers), edges
 
 
-def filed_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(raw, filed_type, listed): names of holders and held entities as filed, in six spellings."""
-    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"), "p_name")
-    rel = relations(spark, sf_dir).select("holder_id", "held_id", F.col("holder").startswith("C").alias("customer"))
-    people = table(spark, sf_dir, "customer").filter(F.col("c_mktsegment").isin("HOUSEHOLD", "FURNITURE")).select(F.col("c_custkey").alias("holder_id"), F.lit(True).alias("customer"), F.lit("individual").alias("person"))
-    rel = rel.join(people, ["holder_id", "customer"], "left")
-    base = F.concat_ws(" ", "p_name", F.col("key").cast("string"))
+def filed_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(line, holder_name, entity_type, held_name, stake, holder_role): relations with names as filed, in six spellings, one of them with a slip."""
+    base = F.concat_ws(" ", "p_name", F.col("p_partkey").cast("string"))
+    slip = F.when(F.length(F.substring_index("p_name", " ", -1)) >= 5, F.expr("left(p_name, length(p_name) - 1)")).otherwise(F.col("p_name"))
+    parts = table(spark, sf_dir, "part").select("p_partkey", base.alias("base"), F.concat_ws(" ", slip, F.col("p_partkey").cast("string")).alias("slip"))
+    people = table(spark, sf_dir, "customer").filter(F.col("c_mktsegment").isin("HOUSEHOLD", "FURNITURE")).select(F.format_string("C%d", "c_custkey").alias("holder"), F.lit("individual").alias("person"))
+    rel = relations(spark, sf_dir).join(people, "holder", "left")
+    rel = rel.join(parts.withColumnRenamed("p_partkey", "holder_id"), "holder_id").join(parts.select(F.col("p_partkey").alias("held_id"), F.col("base").alias("held_base")), "held_id")
     v = F.pmod(F.col("holder_id") + F.col("held_id"), F.lit(6))
     raw = (
-        F.when(v == 0, F.concat(base, F.lit(" Ltd"))).when(v == 1, F.concat(base, F.lit(" LIMITED"))).when(v == 2, F.concat(base, F.lit(" Pvt. Ltd."))).when(v == 3, F.upper(base))
-        .when(v == 4, F.concat(F.lit("Mr "), base)).otherwise(F.concat(base, F.lit(", Trustee of "), base, F.lit(" Trust")))
+        F.when(v == 0, F.concat("base", F.lit(" Ltd"))).when(v == 1, F.concat("base", F.lit(" LIMITED"))).when(v == 2, F.concat("base", F.lit(" Pvt. Ltd."))).when(v == 3, F.upper("slip"))
+        .when(v == 4, F.concat(F.lit("Mr "), "base")).otherwise(F.concat("base", F.lit(", Trustee of "), "base", F.lit(" Trust")))
+    )
+    # the line tells rows apart and puts them in an order; customers and suppliers may share a number
+    line = (F.col("held_id") * 1_000_000 + F.col("holder_id")) * 2 + F.startswith("holder", F.lit("C")).cast("int")
+    return rel.select(
+        line.alias("line"), raw.alias("holder_name"), F.coalesce("person", F.lit("corporate")).alias("entity_type"), F.concat("held_base", F.lit(" Company Ltd")).alias("held_name"),
+        (F.col("stake_bp") / 100).alias("stake"), F.col("role").alias("holder_role"),
     )
-    holders = rel.join(parts, rel["holder_id"] == parts["key"]).select(raw.alias("raw"), F.coalesce("person", F.lit("corporate")).alias("filed_type"), F.lit(False).alias("listed"))
-    helds = rel.join(parts, rel["held_id"] == parts["key"]).select(F.concat(base, F.lit(" Company Ltd")).alias("raw"), F.lit("corporate").alias("filed_type"), F.lit(True).alias("listed"))
-    return holders.unionByName(helds)
+
+
+def filed_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(raw, filed_type, listed): names of holders and held entities as filed."""
+    rel = filed_relations(spark, sf_dir)
+    holders = rel.select(F.col("holder_name").alias("raw"), F.col("entity_type").alias("filed_type"), F.lit(False).alias("listed"))
+    return holders.unionByName(rel.select(F.col("held_name").alias("raw"), F.lit("corporate").alias("filed_type"), F.lit(True).alias("listed")))
 
 
 def filed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

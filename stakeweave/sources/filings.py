@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -13,27 +13,59 @@ PAYLOAD = (
 
 
 def read_filings(spark: SparkSession, path: str) -> DataFrame:
-    """One row per holder of each payload (a whole-file JSON document): file, held, filed_on and the register's fields."""
+    """One row per holder of each payload (a whole-file JSON document): file, place in the payload, held, filed_on and the register's fields."""
     raw = spark.read.schema(PAYLOAD).json(path, multiLine=True).withColumn("file", F.input_file_name())
-    rows = raw.select("file", F.col("Table2")[0]["sLongName"].alias("held"), F.to_date(F.substring(F.col("Table")[0]["Fld_AuthoriseDate"], 1, 10)).alias("filed_on"), F.explode("Table1").alias("r"))
+    rows = raw.select("file", F.col("Table2")[0]["sLongName"].alias("held"), F.to_date(F.substring(F.col("Table")[0]["Fld_AuthoriseDate"], 1, 10)).alias("filed_on"), F.posexplode("Table1").alias("place", "r"))
     return rows.select(
-        "file", "held", "filed_on", F.col("r.Fld_ShareHolderName").alias("holder"), F.col("r.Fld_TotalNoOfShares").alias("shares"), F.col("r.Fld_TotalPercentageOf_A_B_C2").alias("stake_pct"),
+        "file", "place", "held", "filed_on", F.col("r.Fld_ShareHolderName").alias("holder"), F.col("r.Fld_TotalNoOfShares").alias("shares"), F.col("r.Fld_TotalPercentageOf_A_B_C2").alias("stake_pct"),
         F.col("r.Fld_Code").alias("code"), F.coalesce("r.FLd_ShareholderType", "r.Fld_Level").alias("kind"),
     )
 
 
-def cleaned(rows: DataFrame, role: str = "Promoter") -> DataFrame:
-    """Named rows with shares, white space collapsed, the first of each (holder, held, role) by stake, typed by code."""
+def read_quarters(spark: SparkSession, path: str) -> DataFrame:
+    """quarter, name, ends_on of a JSON map from codes to quarters whose end is written like 31 Mar 2026."""
+    raw = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string,struct<fld_quartername:string,fld_enddate:string>>")).alias("quarter", "q"))
+    return raw.select("quarter", F.col("q.fld_quartername").alias("name"), F.try_to_date("q.fld_enddate", "dd MMM yyyy").alias("ends_on"))
+
+
+def tidied(rows: DataFrame, role: str | None = "Promoter") -> DataFrame:
+    """rows with white space collapsed, role, and verdict: kept, or why a row is no relation (unnamed, no_shares, any_other, duplicate).
+
+    Of relations with the same holder, held entity and role the first one stays: by the column `line`, else by file and place.
+    """
     tidy = lambda c: F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
-    kept = rows.withColumns({"holder": tidy("holder"), "held": tidy("held"), "role": F.lit(role)}).filter("holder != '' AND shares > 0 AND lower(holder) NOT LIKE 'any other%'")
-    place = F.row_number().over(Window.partitionBy(F.lower("holder"), F.lower("held"), "role").orderBy(F.desc("stake_pct"), "holder"))
-    person = F.col("code").rlike("^A1a|(?i)individual") | F.col("kind").rlike("(?i)individual|huf")
-    return kept.withColumn("place", place).filter("place = 1").withColumn("entity_type", F.when(person, "individual").otherwise("corporate")).drop("place")
+    rows = rows.withColumns({"holder": tidy("holder"), "held": tidy("held")} | ({"role": F.lit(role)} if role else {}))
+    anonymous = F.lower("holder").like("any other%") | (F.contains("kind", F.lit("Any Other")) if "kind" in rows.columns else F.lit(False))
+    why = F.when(F.coalesce(F.col("holder"), F.lit("")) == "", "unnamed").when(F.coalesce(F.col("shares"), F.lit(0)) <= 0, "no_shares").when(F.coalesce(anonymous, F.lit(False)), "any_other")
+    order = [F.col(c) for c in ("line", "file", "place") if c in rows.columns]
+    same = Window.partitionBy(F.lower("holder"), F.lower("held"), "role", "verdict").orderBy(*order)
+    rows = rows.withColumn("verdict", F.coalesce(why, F.lit("kept")))
+    return rows.withColumn("verdict", F.when((F.col("verdict") == "kept") & (F.row_number().over(same) > 1), "duplicate").otherwise(F.col("verdict")))
+
+
+def cleaned(rows: DataFrame, role: str | None = "Promoter") -> DataFrame:
+    """The relations among tidied rows, typed by the register's code and kind."""
+    kept = tidied(rows, role).filter("verdict = 'kept'").drop("verdict")
+    person = F.lit(False)
+    if "code" in rows.columns:
+        person = person | F.coalesce(F.col("code").rlike("^A1a|(?i)individual"), F.lit(False))
+    if "kind" in rows.columns:
+        person = person | F.coalesce(F.col("kind").rlike("(?i)individual|huf"), F.lit(False))
+    return kept.withColumn("entity_type", F.when(person, "individual").otherwise("corporate"))
 
 
-def latest(rows: DataFrame, key: str, quarter: str) -> DataFrame:
-    """The rows of each key's latest quarter."""
-    return rows.withColumn("newest", F.max(quarter).over(Window.partitionBy(key))).filter(F.col(quarter) == F.col("newest")).drop("newest")
+def counters(rows: DataFrame, role: str | None = "Promoter") -> DataFrame:
+    """verdict, role, rows: how many rows became relations, and why others did not."""
+    return tidied(rows, role).groupBy("verdict", "role").agg(F.count("*").alias("rows"))
+
+
+def latest(rows: DataFrame, key: str, quarter: str, usable: Column | None = None) -> DataFrame:
+    """The rows of each key's latest quarter; with `usable`, of the latest quarter that has a row for which it holds, if any has."""
+    of_key = Window.partitionBy(key)
+    newest = F.max(quarter).over(of_key)
+    if usable is not None:
+        newest = F.coalesce(F.max(F.when(usable, F.col(quarter))).over(of_key), newest)
+    return rows.withColumn("newest", newest).filter(F.col(quarter) == F.col("newest")).drop("newest")
 
 
 def in_scope(rows: DataFrame, anchors: list[str]) -> DataFrame:
@@ -44,6 +76,11 @@ def in_scope(rows: DataFrame, anchors: list[str]) -> DataFrame:
     return rows.join(groups.withColumn("group", F.element_at(F.array(*map(F.lit, anchors)), F.col("anchor") + 1)).drop("anchor"), "held")
 
 
+def group_of(rows: DataFrame) -> DataFrame:
+    """held, group: the label that a held entity's last row states."""
+    return rows.filter("`group` is not null").groupBy("held").agg(F.max_by("group", "line").alias("group"))
+
+
 def labelled_pairs(spark: SparkSession, path: str) -> DataFrame:
     """name_a, name_b, band, same_entity of a CSV; a label other than 0 or 1 stops the job."""
     rows = spark.read.csv(path, header=True, escape='"')

@@ -25,6 +25,20 @@ def test_filings(spark, tmp_path):
     assert {r.v for r in filings.latest(old, "key", "quarter").collect()} == {"y", "z"}
 
 
+def test_quarters_fallback_and_counters(spark, tmp_path):
+    (tmp_path / "q.json").write_text(json.dumps({"88": {"fld_quartername": "June 2025", "fld_enddate": "30 Jun 2025"}, "89": {"fld_quartername": "odd", "fld_enddate": "soon"}}))
+    assert {(r.quarter, r.name, str(r.ends_on)) for r in filings.read_quarters(spark, str(tmp_path / "q.json")).collect()} == {("88", "June 2025", "2025-06-30"), ("89", "odd", "None")}
+    rows = spark.createDataFrame([("k", 1, "x"), ("k", 2, None), ("m", 1, None), ("n", 2, "z"), ("n", 1, "y")], "key string, quarter int, v string")
+    got = filings.latest(rows, "key", "quarter", rows.v.isNotNull()).collect()
+    assert {(r.key, r.quarter, r.v) for r in got} == {("k", 1, "x"), ("m", 1, None), ("n", 2, "z")}
+    filed = [(4, "Tide  Lamp", "Ebb", 5, "Promoter", None), (2, "TIDE LAMP", " Ebb", 9, "Promoter", None), (1, "tide lamp", "Ebb", 0, "Promoter", None), (3, "Tide Lamp", "Ebb", 1, "Public (>1%)", None), (5, " ", "Ebb", 1, "Promoter", None), (6, "Q", "Ebb", 1, "Promoter", "Any Other (Specify)")]
+    frame = spark.createDataFrame(filed, "line long, holder string, held string, shares long, role string, kind string")
+    assert {(r.verdict, r.role, r.rows) for r in filings.counters(frame, None).collect()} == {("kept", "Promoter", 1), ("duplicate", "Promoter", 1), ("no_shares", "Promoter", 1), ("kept", "Public (>1%)", 1), ("unnamed", "Promoter", 1), ("any_other", "Promoter", 1)}
+    assert {(r.line, r.holder) for r in filings.cleaned(frame, None).collect()} == {(2, "TIDE LAMP"), (3, "Tide Lamp")}
+    told = spark.createDataFrame([(1, "Ebb", "a"), (9, "Ebb", "b"), (10, "Ebb", None), (2, "Tide", "c")], "line long, held string, `group` string")
+    assert {tuple(r) for r in filings.group_of(told).collect()} == {("Ebb", "b"), ("Tide", "c")}
+
+
 def test_sinks_and_labels(spark, tmp_path):
     rows = spark.createDataFrame([(1, ["a", "b"])], "id int, v array<string>")
     filings.write_csv(rows, str(tmp_path / "c"))
