@@ -80,7 +80,7 @@ NAMES = """
 parts AS (SELECT p_partkey AS key, p_name || ' ' || p_partkey AS base, CASE WHEN len(string_split(p_name, ' ')[-1]) >= 5 THEN p_name[:-2] ELSE p_name END || ' ' || p_partkey AS slip FROM part),
 people AS (SELECT 'C' || c_custkey AS holder FROM customer WHERE c_mktsegment IN ('HOUSEHOLD', 'FURNITURE')),
 frel AS MATERIALIZED (SELECT CASE (holder_id + held_id) % 6 WHEN 0 THEN p.base || ' Ltd' WHEN 1 THEN p.base || ' LIMITED' WHEN 2 THEN p.base || ' Pvt. Ltd.' WHEN 3 THEN upper(p.slip) WHEN 4 THEN 'Mr ' || p.base ELSE p.base || ', Trustee of ' || p.base || ' Trust' END AS holder_name,
-    CASE WHEN holder IN (SELECT holder FROM people) THEN 'individual' ELSE 'corporate' END AS filed_type, h.base || ' Company Ltd' AS held_name, stake_bp, role, (held_id * 1000000 + holder_id) * 2 + CAST(holder[1] = 'C' AS INTEGER) AS line
+    CASE WHEN holder IN (SELECT holder FROM people) THEN 'individual' ELSE 'corporate' END AS filed_type, CASE WHEN (holder_id + held_id) % 29 = 0 THEN p.base || ' Co' ELSE h.base || ' Company Ltd' END AS held_name, stake_bp, role, (held_id * 1000000 + holder_id) * 2 + CAST(holder[1] = 'C' AS INTEGER) AS line
   FROM rel JOIN parts p ON p.key = holder_id JOIN parts h ON h.key = held_id),
 filed AS MATERIALIZED (SELECT holder_name AS raw, filed_type, false AS listed FROM frel UNION ALL SELECT held_name, 'corporate', true FROM frel),
 raws AS MATERIALIZED (SELECT DISTINCT raw FROM filed),

@@ -59,10 +59,12 @@ def filed_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(v == 0, F.concat("base", F.lit(" Ltd"))).when(v == 1, F.concat("base", F.lit(" LIMITED"))).when(v == 2, F.concat("base", F.lit(" Pvt. Ltd."))).when(v == 3, F.upper("slip"))
         .when(v == 4, F.concat(F.lit("Mr "), "base")).otherwise(F.concat("base", F.lit(", Trustee of "), "base", F.lit(" Trust")))
     )
+    # some name the holder once more, in a form that only resolution sees through
+    held = F.when((F.col("holder_id") + F.col("held_id")) % 29 == 0, F.concat("base", F.lit(" Co"))).otherwise(F.concat("held_base", F.lit(" Company Ltd")))
     # the line tells rows apart and puts them in an order; customers and suppliers may share a number
     line = (F.col("held_id") * 1_000_000 + F.col("holder_id")) * 2 + F.startswith("holder", F.lit("C")).cast("int")
     return rel.select(
-        line.alias("line"), raw.alias("holder_name"), F.coalesce("person", F.lit("corporate")).alias("entity_type"), F.concat("held_base", F.lit(" Company Ltd")).alias("held_name"),
+        line.alias("line"), raw.alias("holder_name"), F.coalesce("person", F.lit("corporate")).alias("entity_type"), held.alias("held_name"),
         (F.col("stake_bp") / 100).alias("stake"), F.col("role").alias("holder_role"),
     )
 
