@@ -28,7 +28,6 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import WordIds, ascii_words, connected_components, dropped, mapped, released, stored, window_hashes
 
@@ -182,10 +181,12 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, every: in
     named = feats.filter("doc_id is not null and n > 0")
     repeats = bool(feats.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").limit(1).count())
     classes = named.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.count("*").alias("n_copies"))
+    classes = stored(classes, "sets")
     postings = classes.select("rep", "n", F.posexplode("prefix").alias("pos", "token"))
-    per_token = Window.partitionBy("token")
-    multi = postings.select("*", F.count("*").over(per_token).alias("size"), F.min(F.struct("rep", "n", "pos")).over(per_token).alias("hub")).filter("size > 1")
-    multi = stored(multi.select("token", "rep", "n", "pos", "hub"), "postings")
+    # a token's postings never meet in one task: what is told of them all is aggregated and joined to each, in joins that Spark can split
+    shared = stored(postings.groupBy("token").agg(F.count("*").alias("size"), F.min(F.struct("rep", "n", "pos")).alias("hub")).filter("size > 1").drop("size"), "shared")
+    multi = stored(postings.join(shared, "token").select("token", "rep", "n", "pos", "hub"), "postings")
+    dropped(shared)
     released(docs.sparkSession)
 
     def possible(x, y):
@@ -202,10 +203,13 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, every: in
         links = stored(links.union(members.join(several, "doc_id").filter("rep != doc_id").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))), "links")
     comp = connected_components(links, "round1")
 
-    own = multi.select("token", "rep", "n", "pos").join(comp.toDF("rep", "comp"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-    mixed = own.select("token", "rep", "n", "pos", "comp", F.min("comp").over(per_token).alias("lo"), F.max("comp").over(per_token).alias("hi"), F.count("*").over(Window.partitionBy("token", "comp")).alias("size")).filter("lo != hi")
-    mixed = mixed.withColumn("main", F.max(F.struct("size", "comp")).over(per_token)["comp"] == F.col("comp"))
-    mixed = stored(mixed.select("token", "rep", "n", "pos", "comp", "main"), "mixed")
+    own = stored(multi.select("token", "rep", "n", "pos").join(comp.toDF("rep", "comp"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep")), "own")
+    several = stored(own.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("token"), "several")
+    sizes = own.join(several, "token", "left_semi").groupBy("token", "comp").agg(F.count("*").alias("size"))
+    mains = stored(sizes.groupBy("token").agg(F.max(F.struct("size", "comp"))["comp"].alias("most")), "mains")
+    mixed = stored(own.join(mains, "token").select("token", "rep", "n", "pos", "comp", (F.col("comp") == F.col("most")).alias("main")), "mixed")
+    for old in (own, several, mains):
+        dropped(old)
     x, y = mixed.filter("not main").alias("x"), mixed.alias("y")
     on = (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") != F.col("y.comp")) & (F.col("y.main") | (F.col("x.rep") < F.col("y.rep"))) & possible({c: F.col(f"x.{c}") for c in ("n", "pos")}, {c: F.col(f"y.{c}") for c in ("n", "pos")})
     pairs = x.join(y, on).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
