@@ -67,11 +67,20 @@ def test_back_edges(spark):
 
 
 def test_synthetic(spark):
-    nodes, edges = synthetic.network(spark, 500)
-    rows = edges.collect()
-    assert nodes.count() == 500 and len(rows) > 900 and rows == synthetic.network(spark, 500)[1].collect()
-    held = {}
+    size = 3000
+    nodes, edges = synthetic.network(spark, size)
+    rows, again = sorted(edges.collect()), sorted(synthetic.network(spark, size)[1].repartition(3).collect())
+    assert rows == again and rows != sorted(synthetic.network(spark, size, seed=1)[1].collect())
+    kinds = nodes.groupBy("entity_type", "listed").count().collect()
+    assert {(r.entity_type, r.listed): r["count"] for r in kinds} == {("corporate", True): 342, ("individual", False): 957, ("corporate", False): 1701}
+    assert 0.93 < len(rows) / (size * 946 / 405) <= 1 and len({(r.holder, r.held) for r in rows}) == len(rows)
+    number = lambda x: int(x[1:])
+    held, holds = {}, {}
     for r in rows:
-        assert r.holder != r.held
+        assert r.holder != r.held and number(r.held) < 342
         held[r.held] = held.get(r.held, 0) + r.stake
-    assert max(held.values()) < 0.9
+        holds[r.holder] = holds.get(r.holder, 0) + 1
+    assert all(0.5 - 1e-9 <= x <= 0.85 + 1e-9 for x in held.values())
+    assert {f"N{i}" for i in range(342, size)} <= set(holds)
+    assert max(holds.values()) > 15 and sum(r.holder in held for r in rows) / len(rows) > 0.03
+    assert synthetic.network(spark, 3)[1].count() >= 1
