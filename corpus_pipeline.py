@@ -3,8 +3,13 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each result as Parquet in the shared
 folder and reads it again as the next stage's docs. All stages but the last return the columns they got.
 
-Documents are named by doc_id: a decision on it holds for all rows that repeat it. Rows with a null doc_id
-can't be named, so no filter removes them; their text is pseudonymised and encoded like any other.
+Documents are named by doc_id: a decision on it holds for all rows that repeat it, also if their texts differ, and of those that
+stay the near-duplicate stage keeps one. Rows with a null doc_id
+can't be named, so no filter removes them; their text is pseudonymised and encoded like any other. Null and empty texts fail the base
+rules of the first stage. No documents give no rows, no labels or no benchmark items leave their stages without effect beyond the
+base rules. Further columns are kept, whatever their names; where they have the names of the last stage's own, these get underscores.
+
+Pseudonyms depend on the session's key (pii.session_key): set spark.stakeweave.pseudonyms.key to link them between runs.
 """
 
 from __future__ import annotations
@@ -30,7 +35,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """The smallest doc_id of each component (shingles of five words, Jaccard 0.8 or more) stays, once."""
     kept = without(docs, jaccard.jaccard_components(docs, k=5, percent=80).filter("component_id != doc_id"))
     if docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").limit(1).count():
-        kept = kept.filter("doc_id is null").unionByName(kept.filter("doc_id is not null").dropDuplicates(["doc_id"]))
+        kept = stored(kept, "kept")
+        first = kept.filter("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("text", *[c for c in kept.columns if c not in ("doc_id", "text")])).alias("row"))
+        kept = kept.filter("doc_id is null").unionByName(first.select("doc_id", "row.*").select(kept.columns))
     return kept
 
 
