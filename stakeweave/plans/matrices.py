@@ -6,15 +6,14 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .iterate import cut, some
+from .iterate import cut, placed, some
 
 
 def groups(strong: DataFrame) -> DataFrame:
-    """id (1 for the largest), component, size, members of strong(node, component): one row a group, and as many members as groups have."""
-    sized = strong.groupBy("component").agg(F.count("*").alias("size"), F.array_sort(F.collect_list("node")).alias("members"))
-    return sized.withColumn("id", F.row_number().over(Window.orderBy(F.desc("size"), "members")))
+    """id (1 for the largest; of equal ones the smallest member decides), component, size of strong(node, component)."""
+    sized = strong.groupBy("component").agg(F.count("*").alias("size"))
+    return placed(sized, F.desc("size"), F.col("component")).select(F.col("place").alias("id"), "component", "size")
 
 
 def group_matrix(edges: DataFrame, strong: DataFrame, target: str | None = None) -> DataFrame:

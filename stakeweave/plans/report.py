@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from . import cycles
+from . import cycles, matrices
 from . import network as net
-from .iterate import cut
+from .iterate import cut, placed
 
 END_LABELS = {"natural_person": "natural person", "no_recorded_owner": "no recorded owner", "circular": "circular", "below_threshold": "below threshold"}
 
@@ -61,11 +61,11 @@ def control_depth(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def labelled_families(nodes: DataFrame, family: DataFrame) -> DataFrame:
-    """label (F1 for the largest), family, size, listed, natural_persons, members: one row a family is numbered."""
+    """label (F1 for the largest; of equal ones the smallest member decides), family, size, listed, natural_persons."""
     rows = family.select("family", F.col("node").alias("id")).join(nodes.select("id", "listed", "entity_type"), "id").groupBy("family").agg(
-        F.count("*").alias("size"), F.array_sort(F.collect_list("id")).alias("members"), F.count_if("listed").alias("listed"), F.count_if(F.col("entity_type") == "individual").alias("natural_persons")
+        F.count("*").alias("size"), F.count_if("listed").alias("listed"), F.count_if(F.col("entity_type") == "individual").alias("natural_persons")
     )
-    return rows.withColumn("label", F.concat(F.lit("F"), F.row_number().over(Window.orderBy(F.desc("size"), "members")).cast("string")))
+    return placed(rows, F.desc("size"), F.col("family")).select(F.concat(F.lit("F"), F.col("place").cast("string")).alias("label"), "family", "size", "listed", "natural_persons")
 
 
 def owner_rows(nodes: DataFrame, edges: DataFrame, simple: DataFrame, stakes: DataFrame, family: DataFrame) -> DataFrame:
@@ -98,7 +98,7 @@ def anomaly_report(nodes: DataFrame, edges: DataFrame) -> dict[str, DataFrame]:
     """circular groups with their inner edges, back edges and the strongest cycles, control depth and families."""
     groups = cut(net.strong_components(edges))
     inner = cut(edges.join(groups.toDF("holder", "component"), "holder").join(groups.toDF("held", "component"), ["held", "component"]))
-    sizes = groups.groupBy("component").agg(F.count("*").alias("size")).withColumn("id", F.row_number().over(Window.orderBy(F.desc("size"), "component")))  # one row per group
+    sizes = matrices.groups(groups)
     return {
         "circular_groups": sizes.join(inner.groupBy("component").agg(F.count("*").alias("internal_edges"), F.max("stake").alias("strongest")), "component", "left"),
         "strongest_edges": inner.withColumn("place", F.row_number().over(Window.partitionBy("component").orderBy(F.desc("stake"), "holder", "held"))).filter("place <= 5"),

@@ -49,18 +49,18 @@ def control_depth(spark, sf_dir):
     return out.select("company", "owners_reachable", "ownership_depth", "controller", r8("total").alias("total"), "control_depth")
 
 
-@query(STRONG + ", sized AS (SELECT component, count(*) AS size, string_agg(node, ',' ORDER BY node) AS members FROM strong GROUP BY component) SELECT row_number() OVER (ORDER BY size DESC, members) AS id, size, members FROM sized")
+@query(STRONG + ", sized AS (SELECT component, count(*) AS size FROM strong GROUP BY component) SELECT row_number() OVER (ORDER BY size DESC, component) AS id, component, size FROM sized")
 def circular_groups(spark, sf_dir):
-    """Circular groups, the largest first."""
-    return matrices.groups(net.strong_components(network(spark, sf_dir)[1])).select("id", "size", F.array_join("members", ",").alias("members"))
+    """Circular groups, the largest first; strong_components has their members."""
+    return matrices.groups(net.strong_components(network(spark, sf_dir)[1]))
 
 
-@query(o.ctes(o.BASE, o.FAMILIES) + """, sized AS (SELECT family, count(*) AS size, string_agg(node, ',' ORDER BY node) AS members, count(*) FILTER (n.listed) AS listed, count(*) FILTER (n.entity_type = 'individual') AS natural_persons FROM families JOIN nodes n ON n.id = node GROUP BY family)
-SELECT 'F' || row_number() OVER (ORDER BY size DESC, members) AS label, family, size, listed, natural_persons FROM sized""")
+@query(o.ctes(o.BASE, o.FAMILIES) + """, sized AS (SELECT family, count(*) AS size, count(*) FILTER (n.listed) AS listed, count(*) FILTER (n.entity_type = 'individual') AS natural_persons FROM families JOIN nodes n ON n.id = node GROUP BY family)
+SELECT 'F' || row_number() OVER (ORDER BY size DESC, family) AS label, family, size, listed, natural_persons FROM sized""")
 def family_labels(spark, sf_dir):
     """Families as F1, F2, ..., the largest first."""
     nodes, e = network(spark, sf_dir)
-    return report.labelled_families(nodes, net.families(nodes, e)).select("label", "family", "size", "listed", "natural_persons")
+    return report.labelled_families(nodes, net.families(nodes, e))
 
 
 OWNER_ROWS = METRICS + """, rows AS (SELECT u.company, u.owner, n.entity_type AS owner_type, coalesce(f.family = g.family, false) AS same_family, u.stake, coalesce(w.total, 0) AS simple
@@ -124,14 +124,13 @@ def end_histogram(spark, sf_dir):
     return report.end_histogram(net.chains(*network(spark, sf_dir))).select("company", F.array_join(F.transform(F.array_sort(F.map_entries("ends")), lambda e: F.concat_ws(":", e["key"], e["value"].cast("string"))), ", ").alias("ends"))
 
 
-@query(METRICS + "SELECT coalesce(family, 'none') AS family, string_agg(controller || ':' || n, ', ' ORDER BY controller) AS controllers FROM (SELECT family, controller, count(*) AS n FROM metrics WHERE controller IS NOT NULL GROUP BY family, controller) GROUP BY family")
+@query(METRICS + "SELECT coalesce(family, 'none') AS family, controller, count(*) AS companies FROM metrics WHERE controller IS NOT NULL GROUP BY ALL")
 def controller_histogram(spark, sf_dir):
+    """How many companies of a family each controller controls."""
     nodes, e = network(spark, sf_dir)
     simple = net.ultimate_owners(net.chains(nodes, e, 0.0))
     metrics = net.company_metrics(nodes, e, simple, cut(net.integrated(e)), net.families(nodes, e))
-    n = metrics.filter("controller is not null").groupBy("family", "controller").agg(F.count("*").alias("n"))
-    told = F.array_sort(F.collect_list(F.struct("controller", F.concat_ws(":", "controller", F.col("n").cast("string")).alias("text"))))["text"]
-    return n.groupBy(F.coalesce("family", F.lit("none")).alias("family")).agg(F.array_join(told, ", ").alias("controllers"))
+    return metrics.filter("controller is not null").groupBy(F.coalesce("family", F.lit("none")).alias("family"), "controller").agg(F.count("*").alias("companies"))
 
 
 @query(STRONG + """, sides AS (SELECT e.holder, e.held FROM edges e JOIN strong s ON s.node = e.holder JOIN strong t ON t.node = e.held AND t.component = s.component WHERE s.component = (SELECT min(component) FROM strong))
