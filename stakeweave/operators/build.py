@@ -29,9 +29,9 @@ def filed(records: DataFrame) -> DataFrame:
     """raw, filed_type, listed, cin, line of both sides of records(holder_name, entity_type, held_name[, holder_cin, held_cin, line])."""
     for c, kind in (("holder_cin", "string"), ("held_cin", "string"), ("line", "long")):
         records = records if c in records.columns else records.withColumn(c, F.lit(None).cast(kind))
-    holders = records.select(F.col("holder_name").alias("raw"), F.lower("entity_type").alias("filed_type"), F.lit(False).alias("listed"), F.col("holder_cin").alias("cin"), "line")
-    helds = records.select(F.col("held_name").alias("raw"), F.lit("corporate").alias("filed_type"), F.lit(True).alias("listed"), F.col("held_cin").alias("cin"), "line")
-    return holders.unionByName(helds)
+    holder = F.struct(F.col("holder_name").alias("raw"), F.lower("entity_type").alias("filed_type"), F.lit(False).alias("listed"), F.col("holder_cin").alias("cin"), "line")
+    held = F.struct(F.col("held_name").alias("raw"), F.lit("corporate").alias("filed_type"), F.lit(True).alias("listed"), F.col("held_cin").alias("cin"), "line")
+    return records.select(F.inline(F.array(holder, held)))
 
 
 def network(records: DataFrame, strict: bool = False, **switches) -> Network:

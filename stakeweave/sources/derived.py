@@ -71,9 +71,12 @@ def filed_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def filed_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(raw, filed_type, listed): names of holders and held entities as filed."""
-    rel = filed_relations(spark, sf_dir)
-    holders = rel.select(F.col("holder_name").alias("raw"), F.col("entity_type").alias("filed_type"), F.lit(False).alias("listed"))
-    return holders.unionByName(rel.select(F.col("held_name").alias("raw"), F.lit("corporate").alias("filed_type"), F.lit(True).alias("listed")))
+    # both sides of a row at once: the relations are worked out a single time
+    sides = F.array(
+        F.struct(F.col("holder_name").alias("raw"), F.col("entity_type").alias("filed_type"), F.lit(False).alias("listed")),
+        F.struct(F.col("held_name").alias("raw"), F.lit("corporate").alias("filed_type"), F.lit(True).alias("listed")),
+    )
+    return filed_relations(spark, sf_dir).select(F.inline(sides))
 
 
 def filed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
