@@ -42,7 +42,7 @@ def truncation_pairs(keys: DataFrame) -> DataFrame:
     return one.filter(F.col("b").substr(F.length("a") + 1, F.lit(1)) != " ").select("entity_type", "a", "b")
 
 
-def fuzzy_pairs(keys: DataFrame, threshold: float = 0.8) -> DataFrame:
+def fuzzy_pairs(keys: DataFrame, threshold: float = 0.8, width: int = BLOCK) -> DataFrame:
     """The block_pairs of keys that token_match holds for, without making the others.
 
     Words that must be equal (up to three letters, or with digits) stand at the same places of both keys: with the number of words they
@@ -50,7 +50,7 @@ def fuzzy_pairs(keys: DataFrame, threshold: float = 0.8) -> DataFrame:
     one of their n // 2 + 1 rarest other words at the same place, too (prefix filter). Keys that are equal without spaces are joined on that.
     """
     keys = keys.select("entity_type", "key").distinct()
-    within = (F.col("a") < F.col("b")) & F.startswith(F.col("b"), F.substring("a", 1, BLOCK))
+    within = (F.col("a") < F.col("b")) & F.startswith(F.col("b"), F.substring("a", 1, width))
     squeezed = keys.select("entity_type", "key", F.replace("key", F.lit(" "), F.lit("")).alias("squeezed"))
     same = squeezed.withColumnRenamed("key", "a").join(squeezed.withColumnRenamed("key", "b"), ["entity_type", "squeezed"]).filter(within)
     words = keys.withColumn("words", F.split("key", " ")).withColumn("n", F.size("words"))

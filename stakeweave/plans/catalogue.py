@@ -332,7 +332,7 @@ alike AS (SELECT a, b FROM words GROUP BY a, b, x HAVING bool_and(p = q OR least
 
 @query(o.ctes(o.BASE, o.NAMES, TOKENS) + "SELECT a, b FROM alike UNION SELECT a, b FROM pairs WHERE replace(a, ' ', '') = replace(b, ' ', '')")
 def token_match_pairs(spark, sf_dir):
-    return block_pairs(spark, sf_dir).filter(names.token_match(F.col("a"), F.col("b")))
+    return resolve.fuzzy_pairs(_keys(spark, sf_dir).withColumn("entity_type", F.lit("x"))).select("a", "b")
 
 
 @query(NAMED + "SELECT token, count(*) AS df FROM (SELECT DISTINCT key, unnest(string_split(key, ' ')) AS token FROM keyed) GROUP BY token")
