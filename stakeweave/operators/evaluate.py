@@ -12,7 +12,6 @@ from stakeweave.functions.names import token_match
 from stakeweave.plans.iterate import cut
 
 from . import resolve
-from .resolve import block_pairs
 
 
 def scores(pairs: DataFrame) -> DataFrame:
@@ -26,9 +25,22 @@ def scores(pairs: DataFrame) -> DataFrame:
 
 
 def blocking_counts(keys: DataFrame, widths: tuple[int, ...] = (1, 2, 3, 4, 5, 6)) -> DataFrame:
-    """width, comparisons, matches of prefix blocking for each width of the block."""
-    one = lambda w: block_pairs(keys, w).agg(F.count("*").alias("comparisons"), F.count_if(token_match(F.col("a"), F.col("b"))).alias("matches")).withColumn("width", F.lit(w))
-    return reduce(DataFrame.unionByName, map(one, widths)).select("width", "comparisons", "matches")
+    """width, comparisons, matches of prefix blocking for each width of the block (one letter or more).
+
+    No pair is made to be counted. A block of n keys has n (n - 1) / 2 pairs, and a key shorter than the block one with every longer key
+    that it begins; what matches in a wider block also does in the narrowest.
+    """
+    keys = cut(keys.select("entity_type", "key").distinct())
+    lengths = F.sequence(F.lit(0), F.least(F.lit(max(widths)), F.length("key")))
+    starts = keys.select("entity_type", "key", F.explode(lengths).alias("n")).select("entity_type", "n", F.substring("key", F.lit(1), F.col("n")).alias("start"), (F.length("key") == F.col("n")).alias("whole"))
+    blocks = starts.groupBy("entity_type", "n", "start").agg(F.count("*").alias("size"), F.bool_or("whole").alias("whole"))
+    size = F.col("size")
+    made = lambda w: F.when(F.col("n") == w, F.expr("size * (size - 1) div 2")).when((F.col("n") < w) & F.col("whole"), size - 1)
+    comparisons = blocks.agg(*[F.coalesce(F.sum(made(w)), F.lit(0)).alias(str(w)) for w in widths])
+    met = resolve.fuzzy_pairs(keys, width=min(widths))
+    matches = met.agg(*[F.count_if(F.startswith("b", F.substring("a", 1, w))).alias(f"m{w}") for w in widths])
+    each = F.array(*[F.struct(F.lit(w).alias("width"), F.col(f"`{w}`").alias("comparisons"), F.col(f"m{w}").alias("matches")) for w in widths])
+    return comparisons.join(matches).select(F.inline(each))
 
 
 def threshold_sweep(pairs: DataFrame, thresholds: tuple[float, ...] = (0.6, 0.7, 0.8, 0.9)) -> DataFrame:

@@ -30,3 +30,14 @@ def test_token_matches_without_the_pairs_of_blocks(spark, unblocked):
 
     want = sorted((a, b) for a in keys for b in keys if a < b and b.startswith(a[:3]) and slow_match(a, b))
     assert len(want) > 1 and rows(entry.queries()["token_match_pairs"](spark, DIR)) == want
+
+
+def test_blocking_counts_without_the_pairs_of_blocks(spark, unblocked):
+    from test_names_and_rows import slow_match
+
+    keys = {("x", k) for k in ("", "l", "la", "lan", "lantern", "lanterm", "lantern works", "lanterm works", "lantern works 7", "lanterm works 7", "lan tern", "quarry 12", "quarri 12", "quarry 13", "q")} | {("y", "lantern"), ("y", "lanterx")}
+    frame = spark.createDataFrame(sorted(keys), "entity_type string, key string")
+    pairs = [(w, a, b) for w in range(1, 7) for s, a in keys for t, b in keys if s == t and a < b and b.startswith(a[:w])]
+    want = [(w, sum(p[0] == w for p in pairs), sum(p[0] == w and slow_match(*p[1:]) for p in pairs)) for w in range(1, 7)]
+    assert want[0][2] > 3 and rows(evaluate.blocking_counts(frame.union(frame))) == want
+    assert rows(evaluate.blocking_counts(frame.limit(0))) == [(w, 0, 0) for w in range(1, 7)]
