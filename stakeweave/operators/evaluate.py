@@ -43,7 +43,10 @@ def blocking_counts(keys: DataFrame, widths: tuple[int, ...] = (1, 2, 3, 4, 5, 6
     return comparisons.join(matches).select(F.inline(each))
 
 
-def threshold_sweep(pairs: DataFrame, thresholds: tuple[float, ...] = (0.6, 0.7, 0.8, 0.9)) -> DataFrame:
+THRESHOLDS = (0.6, 0.7, 0.8, 0.9)
+
+
+def threshold_sweep(pairs: DataFrame, thresholds: tuple[float, ...] = THRESHOLDS) -> DataFrame:
     """threshold, matches of pairs(a, b) by token comparison at each threshold."""
     counts = pairs.agg(*[F.count_if(token_match(F.col("a"), F.col("b"), t)).alias(str(t)) for t in thresholds])
     return counts.select(F.explode(F.array(*[F.struct(F.lit(t).alias("threshold"), F.col(f"`{t}`").alias("matches")) for t in thresholds])).alias("x")).select("x.*")

@@ -194,7 +194,8 @@ t AS (SELECT unnest([0.6, 0.7, 0.8, 0.9]) AS threshold)"""
 @query(o.ctes(o.BASE, o.NAMES, SWEEP) + "SELECT CAST(threshold AS DOUBLE) AS threshold, (SELECT count(*) FROM pairs p LEFT JOIN judged j USING (a, b) WHERE replace(p.a, ' ', '') = replace(p.b, ' ', '') OR 2 * differing <= n AND least >= threshold) AS matches FROM t")
 def threshold_sweep(spark, sf_dir):
     keys = derived.filed_names(spark, sf_dir).select(names.match_key(F.col("raw")).alias("key"), F.lit("x").alias("entity_type")).distinct()
-    return evaluate.threshold_sweep(resolve.block_pairs(cut(keys)).select("a", "b"))
+    # what matches at a threshold does at the lowest
+    return evaluate.threshold_sweep(resolve.fuzzy_pairs(cut(keys), min(evaluate.THRESHOLDS)).select("a", "b"))
 
 
 @query()

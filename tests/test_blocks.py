@@ -41,3 +41,12 @@ def test_blocking_counts_without_the_pairs_of_blocks(spark, unblocked):
     want = [(w, sum(p[0] == w for p in pairs), sum(p[0] == w and slow_match(*p[1:]) for p in pairs)) for w in range(1, 7)]
     assert want[0][2] > 3 and rows(evaluate.blocking_counts(frame.union(frame))) == want
     assert rows(evaluate.blocking_counts(frame.limit(0))) == [(w, 0, 0) for w in range(1, 7)]
+
+
+def test_threshold_sweep_without_the_pairs_of_blocks(spark, unblocked):
+    from test_names_and_rows import slow_match
+
+    keys = [r.key for r in catalogue._keys(spark, DIR).collect()]
+    pairs = [(a, b) for a in keys for b in keys if a < b and b.startswith(a[:3])]
+    want = [(t, sum(slow_match(a, b, t) for a, b in pairs)) for t in (0.6, 0.7, 0.8, 0.9)]
+    assert want[0][1] > want[3][1] and rows(entry.queries()["threshold_sweep"](spark, DIR)) == want
