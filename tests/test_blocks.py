@@ -50,3 +50,11 @@ def test_threshold_sweep_without_the_pairs_of_blocks(spark, unblocked):
     pairs = [(a, b) for a in keys for b in keys if a < b and b.startswith(a[:3])]
     want = [(t, sum(slow_match(a, b, t) for a, b in pairs)) for t in (0.6, 0.7, 0.8, 0.9)]
     assert want[0][1] > want[3][1] and rows(entry.queries()["threshold_sweep"](spark, DIR)) == want
+
+
+def test_missed_pairs_without_the_pairs_of_blocks(spark, unblocked):
+    from test_names_and_rows import distance
+
+    keys = [r.key for r in catalogue._keys(spark, DIR).collect()]
+    pairs = [(a, b) for a in keys for b in keys if a < b and not b.startswith(a[:3]) and abs(len(a) - len(b)) <= max(1, len(a) // 5)]
+    assert rows(entry.queries()["missed_pairs"](spark, DIR)) == sorted(p for p in pairs if distance(*p) <= max(1, len(p[0]) // 5))
