@@ -61,10 +61,11 @@ ABLATIONS = {
 
 def ablations(filed: DataFrame, pairs: DataFrame, configs: dict[str, dict] | None = None) -> DataFrame:
     """config, entities and scores on labelled pairs(a, b, filed_type, truth) of filed(raw, filed_type, listed) for each way of resolution."""
-    out = []
+    out, seen = [], {}
     for config, switches in (configs or ABLATIONS).items():
         own = dict(switches)
-        obs = resolve.observations(filed, capacity=own.pop("capacity", True))
+        capacity = own.pop("capacity", True)
+        obs = seen[capacity] = seen.get(capacity) or resolve.observations(filed, capacity=capacity)
         roots, _ = resolve.merged(obs, cut(resolve.merge_candidates(obs, **own)))
         root = cut(obs.join(roots, ["entity_type", "key"]).select("raw", "filed_type", F.concat_ws("\u0001", "entity_type", "root").alias("root")))
         told = pairs.join(root.withColumnsRenamed({"raw": "a", "root": "root_a"}), ["a", "filed_type"]).join(root.withColumnsRenamed({"raw": "b", "root": "root_b"}), ["b", "filed_type"])

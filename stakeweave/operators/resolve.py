@@ -7,11 +7,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from stakeweave.functions.names import holding_type, match_key, similarity, token_match, with_entity
+from stakeweave.functions.names import holding_type, match_key, token_match, with_entity
 from stakeweave.plans.iterate import cut, placed
 from stakeweave.plans.network import least_labels
 
 BLOCK, TRUNCATED = 3, 15  # leading characters of a block; least length of a key that may be cut off
+SPREAD = 16  # tasks that a block is dealt over where all of its pairs are looked at
 
 
 def observations(filed: DataFrame, capacity: bool = True) -> DataFrame:
@@ -69,6 +70,25 @@ def fuzzy_pairs(keys: DataFrame, threshold: float = 0.8, width: int = BLOCK) ->
     return alike.select("entity_type", "a", "b").union(same.select("entity_type", "a", "b")).distinct()
 
 
+def alike_pairs(keys: DataFrame, least: float) -> DataFrame:
+    """The block_pairs of keys whose similarity is `least` or more; lengths and letters (letter_signature) decide on most pairs before the distance, bounded, does.
+
+    A block's pairs are looked at SPREAD tasks a block, as blocks are few and large.
+    """
+    keys = cut(keys.select("entity_type", "key").distinct().select("entity_type", "key", *[s.alias(f"sig{i}") for i, s in enumerate(letter_signature(F.col("key")))]))
+    a = keys.select("entity_type", F.col("key").alias("a"), F.col("sig0").alias("a0"), F.col("sig1").alias("a1"), F.substring("key", 1, BLOCK).alias("block"), F.pmod(F.xxhash64("key"), F.lit(SPREAD)).cast("int").alias("part"))
+    starts = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(BLOCK)), lambda n: F.col("key").substr(F.lit(1), n)))
+    b = keys.select("entity_type", F.col("key").alias("b"), F.col("sig0").alias("b0"), F.col("sig1").alias("b1"), F.explode(starts).alias("block")).join(F.broadcast(a.select("entity_type", "block").distinct()), ["entity_type", "block"])
+    b = b.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    longest = F.greatest(F.lit(1), F.length("a"), F.length("b"))  # a filter may be tried on a pair before a < b is
+    errors = F.floor(longest * (1 - least) + 1e-6).cast("int")
+    apart = F.bit_count(F.col("a0").bitwiseXOR(F.col("b0"))) + F.bit_count(F.col("a1").bitwiseXOR(F.col("b1")))
+    on, parts = ["entity_type", "block", "part"], spread_over(keys.sparkSession)
+    pairs = a.repartition(parts, *on).join(b.repartition(parts, *on), on).filter("a < b").filter(F.abs(F.length("a") - F.length("b")) <= errors).filter(apart <= 2 * errors)
+    pairs = pairs.select("entity_type", "a", "b", longest.alias("longest"), errors.alias("errors")).withColumn("distance", F.expr("levenshtein(a, b, errors)"))
+    return pairs.filter("distance >= 0").filter(1 - F.col("distance") / F.col("longest") >= least).select("entity_type", "a", "b")
+
+
 def merge_candidates(obs: DataFrame, truncation: bool = True, fuzzy: bool = True, threshold: float = 0.8, token_guard: bool = True, key_threshold: float = 0.8) -> DataFrame:
     """step (0 cin, 1 truncation, 2 fuzzy), entity_type, a, b: unions to try, in order of step, entity_type, a, b.
 
@@ -81,7 +101,7 @@ def merge_candidates(obs: DataFrame, truncation: bool = True, fuzzy: bool = True
     if truncation:
         out = out.unionByName(truncation_pairs(keys).withColumn("step", F.lit(1)))
     if fuzzy:
-        pairs = fuzzy_pairs(keys, threshold) if token_guard else block_pairs(keys).filter(similarity(F.col("a"), F.col("b")) >= key_threshold)
+        pairs = fuzzy_pairs(keys, threshold) if token_guard else alike_pairs(keys, key_threshold)
         out = out.unionByName(pairs.withColumn("step", F.lit(2)))
     return out
 
@@ -89,7 +109,8 @@ def merge_candidates(obs: DataFrame, truncation: bool = True, fuzzy: bool = True
 def merged(obs: DataFrame, candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
     """((entity_type, key, root), merge log(step, entity_type, a, b)): unions in order; sets with differing CINs stay apart.
 
-    Candidates that can touch each other form a component; each is replayed by itself, so the order only matters inside. Keys
+    Candidates that can touch each other form a component; each is replayed by itself, so the order only matters inside. Where no
+    two keys of a component have differing CINs it is one set whatever the order, and replayed only for the log, if that is read. Keys
     that no candidate names are their own roots and take no part.
     """
     tag = lambda c: F.concat_ws("\u0001", "entity_type", c)
@@ -120,9 +141,13 @@ def merged(obs: DataFrame, candidates: DataFrame) -> tuple[DataFrame, DataFrame]
         own = [(-1, r.entity_type, r.key, None, find(r.key)) for r in rows.itertuples()]
         return pd.DataFrame(own + log, columns=["step", "entity_type", "a", "b", "root"])
 
-    done = cut(part.groupBy("part").cogroup(moves.groupBy("part")).applyInPandas(replay, "step int, entity_type string, a string, b string, root string"))
+    replayed = lambda rows, tries: rows.groupBy("part").cogroup(tries.groupBy("part")).applyInPandas(replay, "step int, entity_type string, a string, b string, root string")
+    own = F.when(F.size("cins") > 0, F.array_sort("cins"))
+    torn = cut(part.groupBy("part").agg(F.min(own).alias("low"), F.max(own).alias("high")).filter("low != high").select("part"))
+    done = cut(replayed(part.join(torn, "part", "left_semi"), moves.join(torn, "part", "left_semi")))
+    calm = part.join(torn, "part", "left_anti").select("entity_type", "key", F.substring_index("part", "\u0001", -1).alias("root"))
     alone = keys.join(labels, "node", "left_anti").select("entity_type", "key", F.col("key").alias("root"))
-    return alone.unionByName(done.filter("step = -1").select("entity_type", F.col("a").alias("key"), "root")), done.filter("step >= 0").select("step", "entity_type", "a", "b")
+    return alone.unionByName(calm).unionByName(done.filter("step = -1").select("entity_type", F.col("a").alias("key"), "root")), replayed(part, moves).filter("step >= 0").select("step", "entity_type", "a", "b")
 
 
 def entities(obs: DataFrame, roots: DataFrame) -> DataFrame:

@@ -58,3 +58,16 @@ def test_missed_pairs_without_the_pairs_of_blocks(spark, unblocked):
     keys = [r.key for r in catalogue._keys(spark, DIR).collect()]
     pairs = [(a, b) for a in keys for b in keys if a < b and not b.startswith(a[:3]) and abs(len(a) - len(b)) <= max(1, len(a) // 5)]
     assert rows(entry.queries()["missed_pairs"](spark, DIR)) == sorted(p for p in pairs if distance(*p) <= max(1, len(p[0]) // 5))
+
+
+def test_whole_keys_alike_without_the_pairs_of_blocks(spark, unblocked):
+    import random
+
+    from test_names_and_rows import distance, spelt
+
+    rng = random.Random(3)
+    keys = sorted({spelt(rng, rng.choice(["lantern works 12", "lantern quarry 17", "lanes of tide 12"])) for _ in range(60)} | {"", "l", "la", "lan", "lant"})
+    frame = spark.createDataFrame([("x", k) for k in keys], "entity_type string, key string")
+    for least in (0.8, 0.9):
+        want = sorted(("x", a, b) for a in keys for b in keys if a < b and b.startswith(a[:3]) and 1 - distance(a, b) / max(len(a), len(b)) >= least)
+        assert len(want) > 5 and rows(resolve.alike_pairs(frame, least)) == want
