@@ -13,6 +13,7 @@ from stakeweave.plans.network import least_labels
 
 BLOCK, TRUNCATED = 3, 15  # leading characters of a block; least length of a key that may be cut off
 SPREAD = 16  # tasks that a block is dealt over where all of its pairs are looked at
+TOGETHER = 4096  # keys of a stem that one task compares with others
 
 
 def observations(filed: DataFrame, capacity: bool = True) -> DataFrame:
@@ -199,27 +200,24 @@ def letter_signature(key: Column) -> list[Column]:
     return [bits(0), bits(64)]
 
 
-def near_pairs(keys: DataFrame, which: Column | None = None) -> DataFrame:
-    """a, b, distance: keys b within edit distance r = max(1, length(a) // 5) of a, without comparing all pairs; only those for which
-    the Column `which` of a and b holds, the others are not verified.
+def near_texts(texts: DataFrame) -> DataFrame:
+    """a, b (both ways, and each with itself): texts of texts(text, r) within edit distance r of a, or within that of b.
 
     Pass-join: b is cut into r + 1 even parts, one of which a must hold unchanged. Part i can only have moved by as many places as errors
     fit to its left (i) and, seen from the end, to its right (r - i), so a offers few places to it. The join is on (r, length of b, i,
     part). Candidates whose letters differ too much are dropped by their signatures, the others are verified with the distance bounded by r; a
     pair that several parts find is verified each time and then made distinct, as most candidates are found by one part and fail.
     """
-    # keys are few and the work on each is much, so parts are counted, not left to their size
-    parts = spread_over(keys.sparkSession)
-    keys = keys.select("key").filter("key != ''").distinct().repartition(parts, "key").select("key", *[s.alias(f"sig{i}") for i, s in enumerate(letter_signature(F.col("key")))])
-    size, radius = F.length("key"), lambda n: F.greatest(F.lit(1), F.floor(n / 5)).cast("int")
+    # texts are few and the work on each is much, so parts are counted, not left to their size
+    parts = spread_over(texts.sparkSession)
+    texts = cut(texts.repartition(parts, "text").select("text", "r", F.length("text").alias("m"), *[s.alias(f"sig{i}") for i, s in enumerate(letter_signature(F.col("text")))]))
     edge = lambda i, n: F.floor(i * n / (F.col("r") + 1)).cast("int")
-    # b is indexed for every radius that an a of a fitting length can have
-    fitting = F.sequence(F.greatest(F.lit(1), F.floor(size * 5 / 6 - 2).cast("int")), F.ceil(size * 5 / 4 + 2).cast("int"))
-    b = keys.select(F.col("key").alias("b"), F.col("sig0").alias("b0"), F.col("sig1").alias("b1"), size.alias("n"), F.explode(F.array_distinct(F.transform(fitting, radius))).alias("r"))
-    b = b.select("*", F.explode(F.sequence(F.lit(0), F.col("r"))).alias("i"))
+    a = texts.select(F.col("text").alias("a"), F.col("sig0").alias("a0"), F.col("sig1").alias("a1"), "m", "r").select("*", F.explode(F.sequence(F.greatest(F.lit(0), F.col("m") - F.col("r")), F.col("m") + F.col("r"))).alias("n"))
+    # b is indexed for every radius that an a of a fitting length has
+    asked = texts.select("m", "r").distinct().select("r", F.explode(F.sequence(F.greatest(F.lit(0), F.col("m") - F.col("r")), F.col("m") + F.col("r"))).alias("n")).distinct()
+    b = texts.select(F.col("text").alias("b"), F.col("sig0").alias("b0"), F.col("sig1").alias("b1"), F.col("m").alias("n")).join(asked, "n").select("*", F.explode(F.sequence(F.lit(0), F.col("r"))).alias("i"))
     b = b.select("b", "b0", "b1", "r", "n", "i", F.col("b").substr(edge(F.col("i"), F.col("n")) + 1, edge(F.col("i") + 1, F.col("n")) - edge(F.col("i"), F.col("n"))).alias("part"))
-    a = keys.select(F.col("key").alias("a"), F.col("sig0").alias("a0"), F.col("sig1").alias("a1"), size.alias("m"), radius(size).alias("r"))
-    a = a.select("*", F.explode(F.sequence(F.greatest(F.lit(1), F.col("m") - F.col("r")), F.col("m") + F.col("r"))).alias("n")).select("*", F.explode(F.sequence(F.lit(0), F.col("r"))).alias("i"))
+    a = a.select("*", F.explode(F.sequence(F.lit(0), F.col("r"))).alias("i"))
     a = a.select("*", edge(F.col("i"), F.col("n")).alias("begin"), (edge(F.col("i") + 1, F.col("n")) - edge(F.col("i"), F.col("n"))).alias("w"), (F.col("m") - F.col("n")).alias("longer"))
     left, right = F.col("i"), F.col("r") - F.col("i")
     low = F.greatest(F.lit(0), F.col("begin") - left, F.col("begin") + F.col("longer") - right)
@@ -228,8 +226,42 @@ def near_pairs(keys: DataFrame, which: Column | None = None) -> DataFrame:
     a = a.select("a", "a0", "a1", "r", "n", "i", F.col("a").substr(F.col("at") + 1, F.col("w")).alias("part"))
     apart = F.bit_count(F.col("a0").bitwiseXOR(F.col("b0"))) + F.bit_count(F.col("a1").bitwiseXOR(F.col("b1")))
     on = ["r", "n", "i", "part"]
-    pairs = a.repartition(parts, *on).join(b.repartition(parts, *on), on).filter("a != b").filter(F.lit(True) if which is None else which).filter(apart <= 2 * F.col("r")).select("a", "b", F.expr("levenshtein(a, b, r)").alias("distance"))
-    return pairs.filter("distance >= 0").distinct()
+    found = a.repartition(parts, *on).join(b.repartition(parts, *on), on).filter("a != b").filter(apart <= 2 * F.col("r")).filter(F.expr("levenshtein(a, b, r)") >= 0).select("a", "b")
+    return found.union(found.select("b", "a")).union(texts.select("text", "text")).distinct()
+
+
+def near_pairs(keys: DataFrame, which: Column | None = None) -> DataFrame:
+    """a, b, distance: keys b within edit distance r = max(1, length(a) // 5) of a, without comparing all pairs; only those for which
+    the Column `which` of a and b holds, the others are not verified.
+
+    Leaving out the digits of both never raises a distance. So the keys' stems, which are without digits, are compared first (near_texts, with the
+    largest r of a stem's keys), and then the keys of near stems: each pair is met once, a < b, for both its ways, and is not gathered with
+    others again. Pairs whose lengths or letters (letter_signature) differ too much are dropped before the distance, which is bounded; where
+    all before the first digit is equal it is that of the rest. A stem's keys are dealt over as many tasks as they need (TOGETHER).
+    """
+    parts = spread_over(keys.sparkSession)
+    size = F.length("key")
+    sigs = [s.alias(f"s{i}") for i, s in enumerate(letter_signature(F.col("key")))]
+    keys = keys.select("key").filter("key != ''").distinct().repartition(parts, "key")
+    keys = cut(keys.select("key", F.regexp_replace("key", "[0-9]", "").alias("stem"), F.greatest(F.lit(1), F.floor(size / 5)).cast("int").alias("r"), size.alias("m"), F.regexp_extract("key", "^[^0-9]*", 0).alias("head"), *sigs))
+    keys = keys.withColumn("tail", F.col("key").substr(F.length("head") + 1, F.col("m")))
+    stems = cut(keys.groupBy("stem").agg(F.max("r").alias("r"), F.count("*").alias("n")))
+    near = cut(near_texts(stems.select(F.col("stem").alias("text"), "r")))
+    load = near.join(stems.select(F.col("stem").alias("a"), "n"), "a").groupBy(F.col("b").alias("stem")).agg(F.ceil(F.sum("n") / TOGETHER).cast("int").alias("shares"))
+    side = lambda x: keys.join(load, "stem").select("stem", "shares", F.col("key").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("r", "m", "head", "tail", "s0", "s1")])
+    b = side("b").withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).drop("shares")
+    a = side("a").drop("shares").join(near.toDF("stem", "other"), "stem").drop("stem").join(load.withColumnRenamed("stem", "other"), "other")
+    a = a.withColumn("share", F.pmod(F.xxhash64("a"), F.col("shares")).cast("int")).drop("shares").withColumnRenamed("other", "stem")
+    r = F.greatest("r_a", "r_b")
+    apart = F.bit_count(F.col("s0_a").bitwiseXOR(F.col("s0_b"))) + F.bit_count(F.col("s1_a").bitwiseXOR(F.col("s1_b")))
+    on, fits = ["stem", "share"], F.lit(True) if which is None else which
+    pairs = a.repartition(parts, *on).join(b.repartition(parts, *on), on).filter("a < b").filter(F.abs(F.col("m_a") - F.col("m_b")) <= r).filter(apart <= 2 * r)
+    turned = lambda rows: rows.toDF(*[{"a": "b", "b": "a"}.get(c, c) for c in rows.columns])
+    pairs = turned(turned(pairs.withColumn("one", fits)).withColumn("other", fits)).filter("one or other")
+    distance = F.when(F.col("head_a") == F.col("head_b"), F.expr("levenshtein(tail_a, tail_b, greatest(r_a, r_b))")).otherwise(F.expr("levenshtein(a, b, greatest(r_a, r_b))"))
+    pairs = pairs.select("a", "b", "r_a", "r_b", "one", "other", distance.alias("distance")).filter("distance >= 0")
+    way = lambda x, y, r, fit: F.when(F.col(fit) & (F.col("distance") <= F.col(r)), F.struct(F.col(x).alias("a"), F.col(y).alias("b"), "distance"))
+    return pairs.select(F.inline(F.array_compact(F.array(way("a", "b", "r_a", "one"), way("b", "a", "r_b", "other")))))
 
 
 def prefix_distance(query: Column, key: Column) -> Column:

@@ -121,6 +121,21 @@ def test_near_pairs_by_brute_force(spark, letters, longest):
     assert {tuple(r) for r in resolve.near_pairs(spark.createDataFrame([(k,) for k in keys], "key string")).collect()} == want
 
 
+def test_near_pairs_of_numbered_names_are_met_once(spark, monkeypatch):
+    monkeypatch.setattr(resolve, "TOGETHER", 7)
+    rng = random.Random(5)
+    keys = {f"{rng.choice(['large ring', 'large rin', 'cold bolt', 'old bolt', 'o', ''])} {rng.randrange(3000)}".strip() for _ in range(150)} | {"7", "77", "large ring", "3 large ring", "4large ring 12", "a1b2c3d4e5", "abcde", "1a2b3c4d5e6f", "9" * 40, "9" * 34 + "x"}
+    want = {(a, b, d) for a in keys for b in keys if a != b and (d := distance(a, b)) <= max(1, len(a) // 5)}
+    frame = spark.createDataFrame([(k,) for k in keys], "key string")
+    found = resolve.near_pairs(frame)
+    rows = [tuple(r) for r in found.collect()]
+    assert len(rows) == len(want) > 200 and set(rows) == want
+    gathered = [line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Aggregate" in line and "distance" in line]
+    assert not gathered  # no pair is made twice, so none are made distinct
+    some = (F.col("a") > F.col("b")) & F.endswith(F.col("a"), F.lit("1"))
+    assert {tuple(r) for r in resolve.near_pairs(frame, some).collect()} == {w for w in want if w[0] > w[1] and w[0].endswith("1")}
+
+
 def filed(spark, rows):
     return spark.createDataFrame([(n, "corporate", False, c, i) for i, (n, c) in enumerate(rows)], "raw string, filed_type string, listed boolean, cin string, line long")
 
