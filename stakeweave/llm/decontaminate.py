@@ -1,7 +1,8 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-1. The document frequencies of the benchmark's words over all documents give their IDF.
-2. Passages of a bounded sample of documents (at most one in each of SAMPLE hash buckets) and all benchmark items
+1. Every document is written once as the numbers of its words. The document frequencies of the benchmark's words over all
+   documents give their IDF.
+2. The passages of all documents and all benchmark items (each item WEIGHT times for every PER documents)
    make a TF-IDF matrix A. A randomised SVD finds its leading right singular vectors: random vectors are
    multiplied by A'A, part by part on the executors, and orthonormalised, PASSES times. Items of which these
    vectors hold less than SHARE of the norm add what is missing as directions of their own, so their cosine is exact.
@@ -12,7 +13,7 @@
    cover `verbatim` of the item, or `paraphrase` of it with `answer` of the item's answer words (its rarest third) there.
 
 The benchmark is a stated query set, taken in blocks of about ITEMS items (fewer where they are long), which RANK vectors can tell
-apart; a scan of the documents, each searched whole, serves BLOCKS of them.
+apart; a scan of the documents, each fitted on and searched whole, serves BLOCKS of them.
 Null and empty texts and items match nothing; documents that repeat are each reported, so rows that share a doc_id are rows of the
 result as often as their texts match; rows with null ids are not
 searched, having nothing to be reported by. Items that share an id are searched each and reported under it. Of equally good places in a document
@@ -32,9 +33,9 @@ from pyspark.sql import functions as F
 
 from .common import dropped, mapped, stored
 
-RANK, EXTRA, PASSES, SAMPLE, SHARE = 96, 8, 3, 2048, 0.5
+RANK, EXTRA, PASSES, WEIGHT, PER, SHARE = 96, 8, 3, 8.0, 2048, 0.5
 ITEMS, ITEM_BYTES, BLOCKS = 200, 1 << 17, 16
-STEP, WINDOWS, PASSAGE = 12, (2, 4), 36
+STEP, WINDOWS, PASSAGE, CHUNK = 12, (2, 4), 36, 256
 COSINE, VERBATIM, PARAPHRASE, ANSWER = 0.18, 0.75, 0.45, 0.3
 WORD, ODD = re.compile(r"\w+"), re.compile(r"[^\x00-\x7f\w]")
 SPACED = bytes(c if c >= 128 or chr(c).isalnum() or c == ord("_") else 32 for c in range(256))
@@ -60,77 +61,125 @@ def numbers(known: list[bytes]) -> dict[bytes, int]:
     return {w: i for i, w in enumerate(known, 1)}
 
 
-def frequencies(docs: DataFrame, known: list[bytes]) -> tuple[int, np.ndarray]:
-    """Documents, and documents with each known word (index 0: none)."""
-    sent = docs.sparkSession.sparkContext.broadcast(numbers(known))
+def in_numbers(docs: DataFrame, known: list[bytes]) -> DataFrame:
+    """(doc_id, ids): each document's words as numbers from 1, 0 for unknown ones, in as few bytes as the known words need."""
+    sent, kind = docs.sparkSession.sparkContext.broadcast(numbers(known)), id_type(known)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = sent.value
-        total, n = np.zeros(len(known) + 1, np.int64), 0
+        for batch in batches:
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "ids": [ids_of(words(t), known).astype(kind).tobytes() for t in batch["text"]]})
+
+    return mapped(docs.select("doc_id", "text"), run, "doc_id long, ids binary")
+
+
+def id_type(known: list[bytes]) -> type:
+    return np.uint16 if len(known) < 1 << 16 else np.uint32
+
+
+def frequencies(numbered: DataFrame, known: list[bytes]) -> tuple[int, np.ndarray]:
+    """Documents, and documents with each known word (index 0: none)."""
+    size, kind = len(known) + 1, id_type(known)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total, n = np.zeros(size, np.int64), 0
         for batch in batches:
             n += len(batch)
-            for text in batch["text"]:
-                total[np.unique(ids_of(words(text), known))] += 1
+            for ids in batch["ids"]:
+                total[np.unique(np.frombuffer(ids, kind))] += 1
         total[0] = n
         at = np.flatnonzero(total)
         yield pd.DataFrame({"word": at, "n": total[at]})
 
-    rows = mapped(docs.select("text"), run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(len(known) + 1, np.int64)
+    rows = mapped(numbered.select("ids"), run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(size, np.int64)
     out[rows["word"].to_numpy(int)] = rows["n"].to_numpy(int)
     return int(out[0]), out
 
 
-def passages(ids: np.ndarray, idf: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(distinct words, unit TF-IDF weights) of each passage of PASSAGE words."""
-    for at in range(0, len(ids), PASSAGE):
-        w, n = np.unique(ids[at : at + PASSAGE], return_counts=True)
-        x = n * idf[w]
-        norm = np.sqrt((x * x).sum())
-        if norm > 0:
-            yield w[w > 0], (x / norm)[w > 0]
-
-
-def gram(rows: Iterator[tuple[np.ndarray, np.ndarray]], basis: np.ndarray) -> np.ndarray:
-    """A'A basis for the passages that are the rows of A."""
-    out = np.zeros_like(basis)
-    for w, x in rows:
-        out[w] += x[:, None] * (x @ basis[w])[None, :]
-    return out
-
-
-def latent_basis(sample: DataFrame, items: list[np.ndarray], known: dict[bytes, int], idf: np.ndarray, rank: int, seed: int = 11) -> np.ndarray:
-    """(words + 1) x rank: leading right singular vectors of the sample's and the items' passages."""
-    sc = sample.sparkSession.sparkContext
-    width = min(rank + EXTRA, len(known))
-    basis = np.random.default_rng(seed).standard_normal((len(known) + 1, width))
-    basis[0] = 0
-    weight = 8.0  # of an item against a sampled passage
+def passages(ids: np.ndarray) -> np.ndarray:
+    """Rows of the PASSAGE words of each passage, sorted; -1 fills the last."""
+    rows = np.full((-(-len(ids) // PASSAGE), PASSAGE), -1, np.int32)
+    rows.ravel()[: len(ids)] = ids
+    rows.sort(axis=1)
+    return rows
+
+
+def gram(rows: np.ndarray, idf: np.ndarray, basis: np.ndarray, out: np.ndarray) -> None:
+    """Add A'A basis to out, for the unit TF-IDF vectors A of passages; words outside the benchmark (0) count in the norm only."""
+    rows = rows[rows[:, -1] > 0]
+    for cut in range(0, len(rows), CHUNK):
+        part = rows[cut : cut + CHUNK]
+        first = np.ones(part.shape, bool)
+        first[:, 1:] = part[:, 1:] != part[:, :-1]
+        at = np.flatnonzero(first)
+        n, w, p = np.diff(at, append=part.size), part.ravel()[at], at // PASSAGE
+        x = np.where(w < 0, 0, n * idf[np.maximum(w, 0)])
+        norm = np.sqrt(np.bincount(p, x * x, len(part)))
+        keep = (w > 0) & (norm[p] > 0)
+        own, to = np.unique(w[keep], return_inverse=True)
+        a = np.zeros((len(part), len(own)), np.float32)
+        a[p[keep], to] = x[keep] / norm[p[keep]]
+        out[own] += a.T @ (a @ basis[own].astype(np.float32))
+
+
+def latent_bases(numbered: DataFrame, n: int, places: list[np.ndarray], items: list[list[np.ndarray]], idfs: list[np.ndarray], kind: type, rank: int, seed: int = 11) -> list[np.ndarray]:
+    """For each block (words + 1) x rank: leading right singular vectors of all n documents' and the items' passages. `places` are
+    the blocks' numbers of the numbered words. One pass over the documents serves all blocks."""
+    sc = numbered.sparkSession.sparkContext
+    bases = []
+    for idf in idfs:
+        basis = np.random.default_rng(seed).standard_normal((len(idf), min(rank + EXTRA, len(idf) - 1)))
+        basis[0] = 0
+        bases.append(basis)
+    weight = WEIGHT * max(1.0, n / PER)  # of an item against a passage
     for turn in range(PASSES):
-        basis = np.linalg.qr(basis)[0]
-        sent = sc.broadcast((known, idf, basis))
+        bases = [np.linalg.qr(basis)[0] for basis in bases]
+        sent = sc.broadcast((places, idfs, bases))
 
         def run(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            known, idf, basis = sent.value
-            total = np.zeros_like(basis)
+            places, idfs, bases = sent.value
+            totals, held, rows = [np.zeros_like(b) for b in bases], 0, []
+
+            def count() -> None:
+                every = np.concatenate(rows)
+                for place, idf, basis, total in zip(places, idfs, bases, totals, strict=True):
+                    # places keeps no order among words, so a passage is sorted by its numbers in the block
+                    gram(np.sort(np.append(place, -1)[every], axis=1), idf, basis, total)
+
             for batch in batches:
-                for text in batch["text"]:
-                    total += gram(passages(ids_of(words(text), known), idf), basis) if text else 0
-            cut = range(0, len(total), 256)
-            yield pd.DataFrame({"part": [c // 256 for c in cut], "rows": [total[c : c + 256].tobytes() for c in cut]})
+                for ids in batch["ids"]:
+                    rows.append(passages(np.frombuffer(ids, kind)))
+                    held += len(rows[-1])
+                    if held > 8 * CHUNK:
+                        count()
+                        held, rows = 0, []
+            if rows:
+                count()
+            cuts = [(b, c) for b, total in enumerate(totals) for c in range(0, len(total), 256)]
+            yield pd.DataFrame({"block": [b for b, _ in cuts], "part": [c // 256 for _, c in cuts], "rows": [totals[b][c : c + 256].tobytes() for b, c in cuts]})
 
         def add(group: pd.DataFrame) -> pd.DataFrame:
             total = sum(np.frombuffer(x) for x in group["rows"])
-            return pd.DataFrame({"part": group["part"][:1], "rows": [total.tobytes()]})
-
-        summed = mapped(sample.select("text"), run, "part int, rows binary").groupBy("part").applyInPandas(add, "part int, rows binary").toPandas()
-        image = weight * gram((p for i in items for p in passages(i, idf)), basis)
-        if len(summed):
-            image += np.frombuffer(b"".join(summed.sort_values("part")["rows"])).reshape(basis.shape)
+            return pd.DataFrame({"block": group["block"][:1], "part": group["part"][:1], "rows": [total.tobytes()]})
+
+        summed = mapped(numbered.select("ids"), run, "block int, part int, rows binary").groupBy("block", "part").applyInPandas(add, "block int, part int, rows binary").toPandas().sort_values(["block", "part"])
+        sent.unpersist()
+        images = []
+        for b, (own, idf, basis) in enumerate(zip(items, idfs, bases, strict=True)):
+            image = np.zeros_like(basis)
+            gram(np.concatenate([passages(i) for i in own]), idf, basis, image)
+            image *= weight
+            if len(parts := summed["rows"][summed["block"] == b]):
+                image += np.frombuffer(b"".join(parts)).reshape(basis.shape)
+            images.append(image)
         if turn == PASSES - 1:
-            value, vector = np.linalg.eigh(basis.T @ image)
-            return basis @ vector[:, np.argsort(-value)[:rank]]
-        basis = image
+            out = []
+            for basis, image in zip(bases, images, strict=True):
+                value, vector = np.linalg.eigh(basis.T @ image)
+                out.append(basis @ vector[:, np.argsort(-value)[:rank]])
+            return out
+        bases = images
     raise AssertionError("no passes")
 
 
@@ -162,8 +211,8 @@ def lcs_length(item_masks: dict[int, int], size: int, region: list[int]) -> int:
 class Index:
     """The benchmark block's latent vectors and what confirms candidates."""
 
-    def __init__(self, ids: list[int], items: list[np.ndarray], known: dict[bytes, int], idf: np.ndarray, basis: np.ndarray):
-        self.ids, self.known = ids, known
+    def __init__(self, ids: list[int], items: list[np.ndarray], place: np.ndarray, idf: np.ndarray, basis: np.ndarray):
+        self.ids, self.place = ids, place
         self.fold = np.vstack([basis * idf[:, None], np.zeros(basis.shape[1])]).astype(np.float32)
         self.mass = np.append(idf * idf, 0).astype(np.float32)
         vectors = np.array([self.fold[i].sum(0) for i in items])
@@ -231,13 +280,13 @@ class Index:
         return best
 
 
-def search(docs: DataFrame, indexes: list[Index], cosine: float, verbatim: float, paraphrase: float, answer: float) -> DataFrame:
-    sent = docs.sparkSession.sparkContext.broadcast(indexes)
+def search(numbered: DataFrame, kind: type, indexes: list[Index], cosine: float, verbatim: float, paraphrase: float, answer: float) -> DataFrame:
+    sent = numbered.sparkSession.sparkContext.broadcast(indexes)
     least = min(verbatim, paraphrase)
 
-    def hits(own: Index, texts: list[list[bytes]]) -> dict[tuple[int, int], tuple]:
+    def hits(own: Index, texts: list[np.ndarray]) -> dict[tuple[int, int], tuple]:
         out: dict[tuple[int, int], tuple] = {}
-        ids = [ids_of(t, own.known) for t in texts]
+        ids = [own.place[t] for t in texts]
         plain: dict[int, list[int]] = {}
         for t, i, first, last, cos in own.candidates(ids, cosine):
             if (t, i) in out and out[t, i][0] == 1.0:  # nothing is closer than the whole item
@@ -252,10 +301,10 @@ def search(docs: DataFrame, indexes: list[Index], cosine: float, verbatim: float
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows, chunk, names, held = [], [], [], 0
-            doc_ids, texts = batch["doc_id"].tolist(), batch["text"].tolist()
+            doc_ids, texts = batch["doc_id"].tolist(), batch["ids"].tolist()
             for at in range(len(texts) + 1):
                 if at < len(texts):
-                    chunk.append(words(texts[at]))
+                    chunk.append(np.frombuffer(texts[at], kind))
                     names.append(doc_ids[at])
                     held += len(chunk[-1])
                 if chunk and (held > 200_000 or at == len(texts)):
@@ -265,7 +314,7 @@ def search(docs: DataFrame, indexes: list[Index], cosine: float, verbatim: float
                     chunk, names, held = [], [], 0
             yield pd.DataFrame(rows, columns=["doc_id", "item_id", "lcs", "cosine", "answer", "place", "kind"])
 
-    return mapped(docs.select("doc_id", "text"), run, FOUND)
+    return mapped(numbered, run, FOUND)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, verbatim: float = VERBATIM, paraphrase: float = PARAPHRASE, answer: float = ANSWER, rank: int = RANK) -> DataFrame:
@@ -277,9 +326,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE,
     found = docs.sparkSession.createDataFrame([], FOUND)
     if not blocks:
         return found
-    h = F.xxhash64("doc_id")
-    ids = docs.groupBy(F.pmod(h, F.lit(SAMPLE)).alias("bucket")).agg(F.min_by("doc_id", h).alias("doc_id"))
-    sample = stored(docs.join(F.broadcast(ids.select("doc_id")), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), "passages")
     for begin in range(0, blocks, BLOCKS):
         place = F.pmod(F.xxhash64("item_id"), F.lit(blocks))
         rows = stated.filter((place >= begin) & (place < begin + BLOCKS)).select("item_id", "text", place.alias("block")).distinct().orderBy("block", "item_id", "text").collect()
@@ -290,16 +336,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE,
         every = sorted({w for items in by_block.values() for _, own in items for w in own})
         if not every:
             continue
-        n, df = frequencies(docs, every)
+        numbered, kind = stored(in_numbers(docs, every), "numbers"), id_type(every)
+        n, df = frequencies(numbered, every)
         weight = dict(zip(every, (np.log((n + 1) / (df[1:] + 1)) + 0.1).tolist(), strict=True))
-        indexes = []
+        places, owned, idfs = [], [], []
         for items in by_block.values():
             known = numbers(sorted({w for _, own in items for w in own}))
             idf = np.array([0.0, *map(weight.__getitem__, known)])
             idf[0] = idf[1:].mean()
-            numbered = [ids_of(own, known) for _, own in items]
-            basis = completed(latent_basis(sample, numbered, known, idf, rank), numbered, idf)
-            indexes.append(Index([i for i, _ in items], numbered, known, idf, basis))
-        found = found.unionByName(search(docs, indexes, cosine, verbatim, paraphrase, answer))
-    dropped(sample)
+            places.append(np.array([0, *(known.get(w, 0) for w in every)], np.int32))
+            owned.append([ids_of(own, known) for _, own in items])
+            idfs.append(idf)
+        bases = latent_bases(numbered, n, places, owned, idfs, kind, rank)
+        indexes = [Index([i for i, _ in items], own, place, idf, completed(basis, own, idf)) for items, own, place, idf, basis in zip(by_block.values(), owned, places, idfs, bases, strict=True)]
+        found = found.unionByName(stored(search(numbered, kind, indexes, cosine, verbatim, paraphrase, answer), "found"))
+        dropped(numbered)
     return found

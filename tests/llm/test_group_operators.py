@@ -206,6 +206,33 @@ def test_badly_represented_items_get_directions_of_their_own():
         assert np.linalg.norm(x @ whole) >= decontaminate.SHARE * np.linalg.norm(x)
 
 
+def test_the_latent_space_is_fitted_on_every_document(spark, monkeypatch):
+    ids = spark.range(5000).selectExpr("id", "xxhash64(id) AS h").selectExpr("id", "row_number() OVER (PARTITION BY pmod(h, 2048) ORDER BY h) AS place")
+    last = ids.filter("place = 2").first().id  # a sample of one document in each of 2048 hash buckets would miss it
+    rows = [(i, "alpha beta " * 40_000 if i == last else "nothing of note here") for i in range(5000)]
+    bench = spark.createDataFrame([(1, "alpha beta"), (2, "gamma delta"), (3, "gamma delta gamma"), (4, "delta gamma")], "item_id long, text string")
+    seen, completed = [], decontaminate.completed
+    monkeypatch.setattr(decontaminate, "completed", lambda basis, *rest: seen.append(basis) or completed(basis, *rest))
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench, rank=1).collect()}
+    assert got == {(last, 1)} and len(seen) == 1
+    assert np.abs(seen[0][1:3, 0]).min() > 0.7 and np.abs(seen[0][3:, 0]).max() < 0.1  # alpha and beta, the leading direction of all passages
+
+
+def test_passages_give_the_gram_matrix():
+    rng = np.random.default_rng(4)
+    ids, idf = rng.integers(0, 30, 1000).astype(np.int32), rng.random(31) + 0.1
+    basis = rng.standard_normal((31, 5))
+    basis[0] = 0
+    full = np.zeros((-(-len(ids) // decontaminate.PASSAGE), 31))
+    for at, w in enumerate(ids):
+        full[at // decontaminate.PASSAGE, w] += idf[w]
+    full /= np.linalg.norm(full, axis=1, keepdims=True)
+    full[:, 0] = 0
+    out = np.zeros_like(basis)
+    decontaminate.gram(decontaminate.passages(ids), idf, basis, out)
+    assert np.allclose(out, full.T @ (full @ basis), atol=1e-4)
+
+
 def test_warc_round_trip_and_push_down(spark, tmp_path):
     rows = [(5, "http://a/ä b%20c", "one"), (3, "http://a/2", "one"), (7, None, None), (8, "http://b/\n", ""), (9, "http://b/9", "two é" * 10_000), (4, "u", "one"), (None, "u", "three")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 AS first", "2 AS payload")
