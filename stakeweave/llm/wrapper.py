@@ -1,8 +1,8 @@
 """HTML extraction by wrapper induction.
 
-1. For each host and layout (pages that hold an article element, a main element, or neither) a bounded sample of pages (at most
-   one in each of SAMPLE hash buckets of page_id) is parsed into trees and the trees are aligned, one after another, by simple tree
-   matching: the wrapper is the tree of their slots. Siblings with the same label that are passages or have a class are one
+1. Of each host and layout (pages that hold an article element, a main element, or neither) all pages are parsed into trees. Equal
+   trees are one; they are dealt by their hash into SHARES parts, where they are aligned, one after another, by simple tree
+   matching, and then the parts' trees likewise: the wrapper is the tree of their slots, whatever the input's partitions. Siblings with the same label that are passages or have a class are one
    slot, as are those beyond RUN others with the same label.
 2. Every page of every host is aligned with its wrapper. For each slot all pages count how many of its block
    texts are constant, that is stand in that slot on at least two pages that differ (pages with the same
@@ -19,12 +19,12 @@ article, footers, sidebars, notices, adverts, forms, reader comments) are templa
 one, a main element that holds at least half of the varying text is the root, and text outside of it goes. priors=False
 leaves the decision to the alignment alone.
 
-The samples' ids, the wrappers and the counts a slot are bounded by host; they are broadcast where their counted size is
+The wrappers and the counts a slot are bounded by host; they are broadcast where their counted size is
 below common.SMALL_BYTES, else joined by shuffling the pages. Ties: of equally large matchings that with the earlier
 elements of the wrapper; of equally deep roots the first in page order.
 
 Null and empty html give empty text; a null or odd url means host ''. Repeated pages are extracted alike
-and do not make text constant; a null page_id is extracted as well, but not sampled. Pages may be nested to any depth and of any length. No
+and do not make text constant; a page with a null page_id is like any other. Pages may be nested to any depth and of any length. No
 pages give an empty result. Other columns are ignored, whatever their names.
 """
 
@@ -42,7 +42,8 @@ from pyspark.sql import functions as F
 
 from .common import mapped, small_side, stored
 
-SAMPLE, RUN = 8, 20
+SHARES, RUN = 64, 20
+SAMPLE = 8  # pages that the tests induce() by hand; no query takes a sample
 CONSTANT, COPIES, DIFFERING = 0.8, 0.4, 4
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title".split())  # their content is no markup
@@ -299,11 +300,27 @@ def induce(pages: list[str]) -> list:
     top = Slot("", False)
     for page in sorted(set(pages)):
         merge(top, folded(page)[0])
+    return listed(top)
+
+
+def listed(top: Slot) -> list:
+    """[label, parent's number, chrome] of each slot of a tree."""
     slots = numbered(top)
     up = {c.number: s.number for s in slots for c in s.children}
     return [[s.label, up.get(s.number, -1), s.chrome] for s in slots]
 
 
+def united(wrappers: list[str]) -> str:
+    """The wrapper of wrappers (or of single pages' trees), all as JSON."""
+    top = Slot("", False)
+    for wrapper in sorted(set(wrappers)):
+        other = tree(json.loads(wrapper))
+        for slot in numbered(other):
+            slot.number = -1
+        merge(top, other)
+    return json.dumps(listed(top))
+
+
 def tree(wrapper: list) -> Slot:
     slots = [Slot(label, chrome) for label, _, chrome in wrapper]
     for slot, (_, parent, _) in zip(slots, wrapper, strict=True):
@@ -412,15 +429,29 @@ def layout_of(html):
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """(host, layout, wrapper json), induced from at most SAMPLE pages of each host and layout."""
-    h = F.xxhash64("page_id")
-    ids = pages.filter("page_id is not null and length(html) > 0").groupBy("host", "layout", F.pmod(h, F.lit(SAMPLE)).alias("bucket")).agg(F.min_by("page_id", h).alias("page_id"))
-    sample = pages.join(small_side(ids.select("host", "layout", "page_id"), "sample", "host"), ["host", "layout", "page_id"], "left_semi").dropDuplicates(["host", "layout", "page_id"]).select("host", "layout", "html")
+    """(host, layout, wrapper json), induced from all pages of each host and layout."""
+
+    def trees(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[int] = set()
+        for batch in batches:
+            out = []
+            for host, layout, page in zip(batch["host"], batch["layout"], batch["html"], strict=True):
+                own = json.dumps(listed(folded(page)[0]))
+                key = xxhash.xxh3_128_intdigest("\n".join((host, layout, own)).encode("utf-8", "surrogatepass"))
+                if key not in seen:
+                    if len(seen) >= 100_000:
+                        seen.clear()
+                    seen.add(key)
+                    out.append((host, layout, own))
+            yield pd.DataFrame(out, columns=["host", "layout", "wrapper"])
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"host": rows["host"][:1], "layout": rows["layout"][:1], "wrapper": [json.dumps(induce(rows["html"].tolist()))]})
+        return pd.DataFrame({"host": rows["host"][:1], "layout": rows["layout"][:1], "wrapper": [united(rows["wrapper"].tolist())]})
 
-    return sample.groupBy("host", "layout").applyInPandas(run, "host string, layout string, wrapper string")
+    schema = "host string, layout string, wrapper string"
+    found = mapped(pages.filter("length(html) > 0").select("host", "layout", "html"), trees, schema).distinct()
+    parts = found.groupBy("host", "layout", F.pmod(F.xxhash64("wrapper"), F.lit(SHARES)).alias("share")).applyInPandas(run, schema)
+    return parts.groupBy("host", "layout").applyInPandas(run, schema)
 
 
 def slot_texts(joined: DataFrame) -> DataFrame:

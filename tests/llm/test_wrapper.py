@@ -163,3 +163,15 @@ def test_the_alignment_alone_finds_the_articles_of_large_hosts(spark):
     told = {r.page_id: r.text for r in wrapper.extracted(pages).collect()}
     alone = {r.page_id: r.text for r in wrapper.extracted(pages, priors=False).collect()}
     assert len(told) > 300 and sum(told[i] == alone[i] for i in told) >= 0.95 * len(told)
+
+
+def test_every_page_takes_part_in_the_wrapper(spark):
+    """One page of sixty has a slot of its own; a sample of eight hash buckets would most likely miss such slots."""
+    page = "<html><body><div><p>{a}</p></div><section><{tag}>{b}</{tag}></section></body></html>"
+    rows = [(i, "https://h.example.com/", page.format(a=f"story {i}", b=f"more {i}", tag=f"x-{chr(97 + i % 26)}{chr(97 + i // 26)}"), "h.example.com", "") for i in range(60)]
+    frame = spark.createDataFrame(rows, f"{SCHEMA}, host string, layout string")
+    found = [r.wrapper for n in (1, 5) for r in wrapper.wrappers(frame.repartition(n)).collect()]
+    assert len(found) == 2 and found[0] == found[1]  # whatever the partitions
+    labels = [label for label, _, _ in wrapper.json.loads(found[0])]
+    assert {f"x-{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60)} <= set(labels) and labels.count("section") == 1
+    assert wrapper.united([found[0], found[0]]) == found[0]
