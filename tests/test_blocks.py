@@ -71,3 +71,22 @@ def test_whole_keys_alike_without_the_pairs_of_blocks(spark, unblocked):
     for least in (0.8, 0.9):
         want = sorted(("x", a, b) for a in keys for b in keys if a < b and b.startswith(a[:3]) and 1 - distance(a, b) / max(len(a), len(b)) >= least)
         assert len(want) > 5 and rows(resolve.alike_pairs(frame, least)) == want
+
+
+def test_block_pairs_over_many_tiles(spark, monkeypatch):
+    monkeypatch.setattr(resolve, "TILE", 4, raising=False)
+    monkeypatch.setattr(resolve, "STRIP", 3, raising=False)
+    words = ["", "l", "la", "lan", "lant", "lb", "q", "quay", *(f"lan{n}" for n in range(23)), *(f"la{n}" for n in range(9)), *(f"z{n}" for n in range(5))]
+    keys = [(t, k) for t in "xy" for k in words] + [("z", "lan"), ("z", None)]
+    frame = spark.createDataFrame(keys, "entity_type string, key string")
+    for width in (1, 3):
+        want = sorted((s, a, b) for s, a in keys for t, b in keys if s == t and a is not None and b is not None and a < b and b.startswith(a[:width]))
+        assert rows(resolve.block_pairs(frame.union(frame), width)) == want
+    assert rows(resolve.block_pairs(frame.limit(0))) == []
+
+
+def test_a_list_of_block_pairs_takes_little_disk(spark, tmp_path):
+    frame = spark.range(1500).selectExpr("'x' AS entity_type", "concat('lantern ', sha2(string(id), 256)) AS key")
+    resolve.block_pairs(frame).write.parquet(f"file://{tmp_path}/pairs")
+    assert spark.read.parquet(f"file://{tmp_path}/pairs").distinct().count() == 1500 * 1499 // 2
+    assert sum(f.stat().st_size for f in (tmp_path / "pairs").iterdir()) < 0.5 * 1500 * 1499 // 2
