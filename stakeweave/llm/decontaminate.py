@@ -35,7 +35,7 @@ from .common import dropped, mapped, stored
 
 RANK, EXTRA, PASSES, WEIGHT, PER, SHARE = 96, 8, 3, 8.0, 2048, 0.5
 ITEMS, ITEM_BYTES, BLOCKS = 200, 1 << 17, 16
-STEP, WINDOWS, PASSAGE, CHUNK = 12, (2, 4), 36, 256
+STEP, WINDOWS, PASSAGE, BATCH, CHUNK, FEW = 12, (2, 4), 36, 4096, 32, 512
 COSINE, VERBATIM, PARAPHRASE, ANSWER = 0.18, 0.75, 0.45, 0.3
 WORD, ODD = re.compile(r"\w+"), re.compile(r"[^\x00-\x7f\w]")
 SPACED = bytes(c if c >= 128 or chr(c).isalnum() or c == ord("_") else 32 for c in range(256))
@@ -47,7 +47,7 @@ def words(text: str | None) -> list[bytes]:
     if not text:
         return []
     low = text.lower()
-    if ODD.search(low):  # separators beyond ASCII
+    if not low.isascii() and ODD.search(low):  # separators beyond ASCII
         low = " ".join(WORD.findall(low))
     return low.encode("utf-8", "surrogatepass").translate(SPACED).split()
 
@@ -107,9 +107,10 @@ def passages(ids: np.ndarray) -> np.ndarray:
 
 def gram(rows: np.ndarray, idf: np.ndarray, basis: np.ndarray, out: np.ndarray) -> None:
     """Add A'A basis to out, for the unit TF-IDF vectors A of passages; words outside the benchmark (0) count in the norm only."""
-    rows = rows[rows[:, -1] > 0]
-    for cut in range(0, len(rows), CHUNK):
-        part = rows[cut : cut + CHUNK]
+    rows, basis = rows[rows[:, -1] > 0], basis.astype(np.float32, copy=False)
+    number = np.zeros(len(idf), np.intp)
+    for cut in range(0, len(rows), BATCH):
+        part = rows[cut : cut + BATCH]
         first = np.ones(part.shape, bool)
         first[:, 1:] = part[:, 1:] != part[:, :-1]
         at = np.flatnonzero(first)
@@ -117,10 +118,24 @@ def gram(rows: np.ndarray, idf: np.ndarray, basis: np.ndarray, out: np.ndarray)
         x = np.where(w < 0, 0, n * idf[np.maximum(w, 0)])
         norm = np.sqrt(np.bincount(p, x * x, len(part)))
         keep = (w > 0) & (norm[p] > 0)
-        own, to = np.unique(w[keep], return_inverse=True)
-        a = np.zeros((len(part), len(own)), np.float32)
-        a[p[keep], to] = x[keep] / norm[p[keep]]
-        out[own] += a.T @ (a @ basis[own].astype(np.float32))
+        w, p = w[keep], p[keep]
+        x = (x[keep] / norm[p]).astype(np.float32)
+        own, near = numbered_again(w, number)
+        mine, total = basis[own], np.zeros((len(own), basis.shape[1]), np.float32)
+        ends = np.searchsorted(p, np.arange(0, len(part) + CHUNK, CHUNK))
+        for begin, low, high in zip(range(0, len(part), CHUNK), ends[:-1], ends[1:], strict=True):
+            few, to = numbered_again(near[low:high], number)
+            a = np.zeros((CHUNK, len(few)), np.float32)
+            a[p[low:high] - begin, to] = x[low:high]
+            total[few] += a.T @ (a @ mine[few])
+        out[own] += total
+
+
+def numbered_again(w: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct numbers in w, in order, and the place of each of w among them; number is room for as many as there can be."""
+    own = np.flatnonzero(np.bincount(w, minlength=1))
+    number[own] = np.arange(len(own))
+    return own, number[w]
 
 
 def latent_bases(numbered: DataFrame, n: int, places: list[np.ndarray], items: list[list[np.ndarray]], idfs: list[np.ndarray], kind: type, rank: int, seed: int = 11) -> list[np.ndarray]:
@@ -140,18 +155,21 @@ def latent_bases(numbered: DataFrame, n: int, places: list[np.ndarray], items: l
         def run(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
             places, idfs, bases = sent.value
             totals, held, rows = [np.zeros_like(b) for b in bases], 0, []
+            bases = [b.astype(np.float32) for b in bases]
+            ordered = [bool((np.diff(place) >= 0).all()) for place in places]
 
             def count() -> None:
                 every = np.concatenate(rows)
-                for place, idf, basis, total in zip(places, idfs, bases, totals, strict=True):
-                    # places keeps no order among words, so a passage is sorted by its numbers in the block
-                    gram(np.sort(np.append(place, -1)[every], axis=1), idf, basis, total)
+                for place, kept, idf, basis, total in zip(places, ordered, idfs, bases, totals, strict=True):
+                    own = np.append(place, -1)[every]
+                    # where places keeps no order among words, a passage is sorted by its numbers in the block
+                    gram(own if kept else np.sort(own, axis=1), idf, basis, total)
 
             for batch in batches:
                 for ids in batch["ids"]:
                     rows.append(passages(np.frombuffer(ids, kind)))
                     held += len(rows[-1])
-                    if held > 8 * CHUNK:
+                    if held > BATCH:
                         count()
                         held, rows = 0, []
             if rows:
@@ -223,7 +241,7 @@ class Index:
             masks: dict[int, int] = {}
             for at, w in enumerate(own.tolist()):
                 masks[w] = masks.get(w, 0) | 1 << at
-            self.items.append((len(own), masks, frozenset(rank[: max(3, len(rank) // 3)])))
+            self.items.append((len(own), masks, frozenset(rank[: max(3, len(rank) // 3)]), frozenset(masks), {w: m.bit_count() for w, m in masks.items()}))
 
     def candidates(self, texts: list[np.ndarray], cosine: float) -> Iterator[tuple[int, int, int, int, float]]:
         """(text, item, first word, last word + 1, cosine) of passages near an item."""
@@ -233,15 +251,17 @@ class Index:
         for t, s in zip(texts, starts, strict=False):
             flat[s * STEP : s * STEP + len(t)] = t
         grid = flat.reshape(-1, STEP)
+        grid = np.ascontiguousarray(grid.T)
         again = np.zeros(grid.shape, bool)
         for lag in range(1, STEP):
-            again[:, lag:] |= grid[:, lag:] == grid[:, :-lag]
+            again[lag:] |= grid[lag:] == grid[:-lag]
         grid[again & (grid > 0)] = -1  # a word counts once in a block, however often it is repeated
         fold = np.zeros((starts[-1], self.fold.shape[1]), np.float32)
         mass = np.zeros(starts[-1], np.float32)
-        for j in range(STEP):
-            fold += self.fold[flat[j::STEP]]
-            mass += self.mass[flat[j::STEP]]
+        for cut in range(0, len(fold), FEW):  # what a cut needs stays in the processor's cache
+            for words_at in grid[:, cut : cut + FEW]:
+                fold[cut : cut + FEW] += self.fold[words_at]
+                mass[cut : cut + FEW] += self.mass[words_at]
         owner = np.repeat(np.arange(len(texts)), blocks)
         done = blocks < WINDOWS[0]  # texts too short for the least window are one passage
         for width in (1, *WINDOWS):
@@ -253,28 +273,34 @@ class Index:
                 at = at[(at - starts[owner[at]]) % 2 == 0]
             for cut in range(0, len(at), 20_000):
                 a = at[cut : cut + 20_000]
-                z, m = fold[a], mass[a]
-                for j in range(1, width):
-                    z, m = z + fold[a + j], m + mass[a + j]
+                if width == 1:
+                    z, m = fold[a], mass[a]
+                else:
+                    low, high = a[0], a[-1] + 1
+                    z, m = fold[low:high].copy(), mass[low:high].copy()
+                    for j in range(1, width):
+                        z += fold[low + j : high + j]
+                        m += mass[low + j : high + j]
+                    z, m = z[a - low], m[a - low]
                 norm = np.sqrt(m)
                 c = z @ self.vectors.T
-                hit = c >= np.maximum(norm * cosine, 1e-6)[:, None]
-                for r, i in zip(*np.nonzero(hit), strict=True):
-                    first = int(a[r] - starts[owner[a[r]]]) * STEP
-                    yield int(owner[a[r]]), int(i), first, first + width * STEP, float(c[r, i] / norm[r])
+                r, i = np.divmod(np.flatnonzero(c >= np.maximum(norm * cosine, 1e-6)[:, None]), len(self.vectors))
+                text = owner[a[r]]
+                first = (a[r] - starts[text]) * STEP
+                yield from zip(text.tolist(), i.tolist(), first.tolist(), (first + width * STEP).tolist(), (c[r, i] / norm[r]).tolist(), strict=True)
 
     def confirm(self, text: list[int], item: int, first: int, last: int, least: float) -> tuple[float, float, int]:
         """(LCS share of the item, share of its answer words, place) of the best region of 1.5 times the item's length near the
         passage; regions that can't reach an LCS share of `least`, as too few places of the item have a word of theirs, are passed over."""
-        size, masks, answer = self.items[item]
+        size, masks, answer, own, places = self.items[item]
         length, best = size + size // 2 + 1, (0.0, 0.0, 0)
         low, high = max(0, first - size), min(len(text), last + size)
-        reach = lambda there: sum(masks[w].bit_count() for w in there) >= least * size
-        if not reach(masks.keys() & set(text[low:high])):
+        reach = lambda there: sum(map(places.__getitem__, there)) >= least * size
+        if not reach(own.intersection(text[low:high])):
             return best
         for at in range(low, max(low + 1, high - length + max(4, size // 4)), max(4, size // 4)):
             region = text[at : at + length]
-            there = masks.keys() & set(region)
+            there = own.intersection(region)
             if reach(there):
                 best = max(best, (lcs_length(masks, size, region) / size, len(there & answer) / len(answer), at))
         return best

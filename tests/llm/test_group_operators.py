@@ -233,6 +233,24 @@ def test_passages_give_the_gram_matrix():
     assert np.allclose(out, full.T @ (full @ basis), atol=1e-4)
 
 
+def test_the_gram_matrix_of_many_passages_is_made_in_small_matrices(monkeypatch):
+    rng = np.random.default_rng(6)
+    ids, idf = (2999 * rng.random(300_000) ** 3).astype(np.int32), rng.random(3001) + 0.1
+    ids[:200] = 0  # passages without a known word, and one that is cut off at the end
+    basis = rng.standard_normal((3001, 5))
+    basis[0] = 0
+    rows = decontaminate.passages(ids)
+    full, out, cells, zeros = np.zeros((len(rows), 3001)), np.zeros_like(basis), [], np.zeros
+    np.add.at(full, (np.arange(len(ids)) // decontaminate.PASSAGE, ids), idf[ids])
+    full /= np.linalg.norm(full, axis=1, keepdims=True)
+    full[:, 0] = 0
+    monkeypatch.setattr(np, "zeros", lambda shape, *rest: cells.append(np.prod(shape) * (rest == (np.float32,))) or zeros(shape, *rest))
+    decontaminate.gram(rows, idf, basis, out)
+    monkeypatch.undo()
+    assert np.allclose(out, full.T @ (full @ basis), atol=1e-3)
+    assert sum(cells) < 25 * np.count_nonzero(full)
+
+
 def test_warc_round_trip_and_push_down(spark, tmp_path):
     rows = [(5, "http://a/ä b%20c", "one"), (3, "http://a/2", "one"), (7, None, None), (8, "http://b/\n", ""), (9, "http://b/9", "two é" * 10_000), (4, "u", "one"), (None, "u", "three")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 AS first", "2 AS payload")
