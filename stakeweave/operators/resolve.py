@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -13,7 +18,8 @@ from stakeweave.plans.network import least_labels
 
 BLOCK, TRUNCATED = 3, 15  # leading characters of a block; least length of a key that may be cut off
 SPREAD = 16  # tasks that a block is dealt over where all of its pairs are looked at
-TOGETHER = 4096  # keys of a stem that one task compares with others
+TOGETHER = 2048  # keys of a mask that meet as many others at once
+AT_ONCE = 1 << 19  # pairs of keys looked at in one array
 TILE, STRIP, MOST_TASKS = 2048, 256, 20_000  # keys of a block that meet as many others at once, and how many of these in a row; tasks that pairs of tiles are dealt over
 
 
@@ -247,38 +253,144 @@ def near_texts(texts: DataFrame) -> DataFrame:
     return found.union(found.select("b", "a")).union(texts.select("text", "text")).distinct()
 
 
-def near_pairs(keys: DataFrame, which: Column | None = None) -> DataFrame:
+def digit_signature(key: Column) -> Column:
+    """A long with as many bits set for each digit as the digit occurs, six at most. An edit that puts a digit for a digit changes at most
+    two of them, any other at most one."""
+    count = lambda d: F.least(F.lit(6), F.length(key) - F.length(F.replace(key, F.lit(d), F.lit(""))))
+    unary = lambda d: F.shiftleft(F.call_function("shiftleft", F.lit(1).cast("long"), count(d)) - 1, 6 * int(d))
+    return reduce(lambda done, bits: done.bitwiseOR(bits), map(unary, "0123456789"))
+
+
+def digit_room(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(x, y, r) with bits: in how many bits the digit_signatures of keys of the masks x and y (digits are 0) can differ within distance r; pairs of masks without such keys are left out.
+
+    r edits change 2 r bits, less 2 for each edit of letters only, and less 1 for each digit that a letter is put for (or the reverse) or that is left out or
+    put in. The least of that, over all alignments with at most r places of shift, is an edit distance of the masks with those weights.
+    """
+    for rows in batches:
+        if not len(rows):
+            continue
+        n, reach = len(rows), int(rows.r.max())
+        sizes = [rows[c].str.len().to_numpy() for c in "xy"]
+        codes = [np.zeros((int(size.max()), n), dtype=np.int32) for size in sizes]
+        for c, code in zip("xy", codes):
+            for k, text in enumerate(rows[c]):
+                code[: len(text), k] = [ord(letter) for letter in text]
+        (x, y), far = codes, np.int32(1 << 20)
+        alone = [np.where(code == 48, 1, 2).astype(np.int32) for code in codes]
+        above = np.full((len(y) + 1, n), far)
+        above[0] = 0
+        for j in range(1, min(reach, len(y)) + 1):
+            above[j] = above[j - 1] + alone[1][j - 1]
+        least = np.where(sizes[0] == 0, above[sizes[1], np.arange(n)], far)
+        for i in range(1, len(x) + 1):
+            row = np.full_like(above, far)
+            if i <= reach:
+                row[0] = above[0] + alone[0][i - 1]
+            for j in range(max(1, i - reach), min(len(y), i + reach) + 1):
+                swap = np.where(x[i - 1] == y[j - 1], 0, np.where((x[i - 1] == 48) | (y[j - 1] == 48), 1, 2))
+                row[j] = np.minimum(np.minimum(above[j] + alone[0][i - 1], row[j - 1] + alone[1][j - 1]), above[j - 1] + swap)
+            ends = sizes[0] == i
+            least[ends] = row[sizes[1][ends], np.flatnonzero(ends)]
+            above = row
+        rows["bits"] = (2 * rows.r - least).astype("int32")
+        yield rows[rows.bits >= 0]
+
+
+def distances(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Edit distances of the texts x[i] and y[j], rows of code points: a column of the table at a time, its differences as bits of words (Myers, Hyyro)."""
+    m, n = x.shape[1], y.shape[1]
+    if not m or not n:
+        return np.full(len(i), max(m, n))
+    if m > 64:  # more than a word has: the table itself
+        above = np.repeat(np.arange(n + 1)[:, None], len(i), 1)
+        for k in range(m):
+            row = np.empty_like(above)
+            row[0] = k + 1
+            for t in range(n):
+                row[t + 1] = np.minimum(np.minimum(above[t + 1], row[t]) + 1, above[t] + (x[i, k] != y[j, t]))
+            above = row
+        return above[n]
+    word = next(w for w in (np.uint8, np.uint16, np.uint32, np.uint64) if m <= 8 * w(0).nbytes)
+    letters, codes = np.unique(np.concatenate([x.ravel(), y.ravel()]), return_inverse=True)
+    x, y = codes[: x.size].reshape(x.shape), codes[x.size :].reshape(y.shape)
+    places = np.zeros((len(x), len(letters)), dtype=word)
+    for k in range(m):
+        places[np.arange(len(x)), x[:, k]] |= word(1 << k)
+    places, base, one, top = places.ravel(), i * len(letters), word(1), word(m - 1)
+    more, less, found = np.full(len(i), ~word(0)), np.zeros(len(i), dtype=word), np.full(len(i), m, dtype=np.int32)
+    for t in range(n):
+        same = places[base + y[j, t]]
+        down = same | less
+        across = (((same & more) + more) ^ more) | same
+        up, fall = less | ~(across | more), more & across
+        found += ((up >> top) & one).astype(np.int8) - ((fall >> top) & one).astype(np.int8)
+        up, fall = (up << one) | one, fall << one
+        more, less = fall | ~(down | up), up & down
+    return found
+
+
+def near_in_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """a, b, distance, both ways, of the near keys of each row's two tiles; see near_pairs."""
+    for batch in batches:
+        for row in range(batch.num_rows):
+            told = {c: batch.column(c)[row].as_py() for c in ("r_x", "r_y", "first", "last", "bits", "same")}
+            keys = [batch.column(f"keys_{c}")[row].values for c in "xy"]
+            sigs = [batch.column(f"sigs_{c}")[row].values.to_numpy(zero_copy_only=False) for c in "xy"]
+            texts = []
+            for own in keys:
+                own = own.to_pylist()
+                m = len(own[0])
+                texts.append(np.array(own, dtype=f"U{m}").view(np.uint32).reshape(len(own), m)[:, told["first"] : m - told["last"]])
+            both, nx, ny = pa.concat_arrays(keys), len(keys[0]), len(keys[1])
+            step = max(1, AT_ONCE // ny)
+            for low in range(0, nx, step):
+                fit = np.bitwise_count(sigs[0][low : low + step, None] ^ sigs[1][None, :]) <= told["bits"]
+                if told["same"]:
+                    fit &= np.arange(low, low + len(fit))[:, None] < np.arange(ny)
+                i, j = np.nonzero(fit)
+                i += low
+                for at in range(0, len(i), AT_ONCE // 8):
+                    a, b = i[at : at + AT_ONCE // 8], j[at : at + AT_ONCE // 8]
+                    away = distances(*texts, a, b)
+                    to, back = away <= told["r_x"], away <= told["r_y"]
+                    out = [np.concatenate([a[to], b[back] + nx]), np.concatenate([b[to] + nx, a[back]]), np.concatenate([away[to], away[back]]).astype(np.int32)]
+                    if len(out[0]):
+                        yield pa.RecordBatch.from_arrays([both.take(pa.array(out[0])), both.take(pa.array(out[1])), pa.array(out[2])], names=["a", "b", "distance"])
+
+
+def near_pairs(keys: DataFrame, which: Column | None = None, of_masks: Column | None = None) -> DataFrame:
     """a, b, distance: keys b within edit distance r = max(1, length(a) // 5) of a, without comparing all pairs; only those for which
-    the Column `which` of a and b holds, the others are not verified.
+    the Column `which` of a and b holds. Keys whose masks x and y (digits are 0) don't fulfil `of_masks` are not compared.
 
     Leaving out the digits of both never raises a distance. So the keys' stems, which are without digits, are compared first (near_texts, with the
-    largest r of a stem's keys), and then the keys of near stems: each pair is met once, a < b, for both its ways, and is not gathered with
-    others again. Pairs whose lengths or letters (letter_signature) differ too much are dropped before the distance, which is bounded; where
-    all before the first digit is equal it is that of the rest. A stem's keys are dealt over as many tasks as they need (TOGETHER).
+    largest r of a stem's keys), then their masks: those of two keys tell how far their digits may differ (digit_room). The keys of two such masks
+    meet tile by tile (TOGETHER), each pair once for both its ways, and is not gathered with others again. Of pairs whose digits fit (digit_signature) the
+    distance is taken, from the first to the last digit where all else is equal.
     """
-    parts = spread_over(keys.sparkSession)
-    size = F.length("key")
-    sigs = [s.alias(f"s{i}") for i, s in enumerate(letter_signature(F.col("key")))]
-    keys = keys.select("key").filter("key != ''").distinct().repartition(parts, "key")
-    keys = cut(keys.select("key", F.regexp_replace("key", "[0-9]", "").alias("stem"), F.greatest(F.lit(1), F.floor(size / 5)).cast("int").alias("r"), size.alias("m"), F.regexp_extract("key", "^[^0-9]*", 0).alias("head"), *sigs))
-    keys = keys.withColumn("tail", F.col("key").substr(F.length("head") + 1, F.col("m")))
-    stems = cut(keys.groupBy("stem").agg(F.max("r").alias("r"), F.count("*").alias("n")))
-    near = cut(near_texts(stems.select(F.col("stem").alias("text"), "r")))
-    load = near.join(stems.select(F.col("stem").alias("a"), "n"), "a").groupBy(F.col("b").alias("stem")).agg(F.ceil(F.sum("n") / TOGETHER).cast("int").alias("shares"))
-    side = lambda x: keys.join(load, "stem").select("stem", "shares", F.col("key").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("r", "m", "head", "tail", "s0", "s1")])
-    b = side("b").withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).drop("shares")
-    a = side("a").drop("shares").join(near.toDF("stem", "other"), "stem").drop("stem").join(load.withColumnRenamed("stem", "other"), "other")
-    a = a.withColumn("share", F.pmod(F.xxhash64("a"), F.col("shares")).cast("int")).drop("shares").withColumnRenamed("other", "stem")
-    r = F.greatest("r_a", "r_b")
-    apart = F.bit_count(F.col("s0_a").bitwiseXOR(F.col("s0_b"))) + F.bit_count(F.col("s1_a").bitwiseXOR(F.col("s1_b")))
-    on, fits = ["stem", "share"], F.lit(True) if which is None else which
-    pairs = a.repartition(parts, *on).join(b.repartition(parts, *on), on).filter("a < b").filter(F.abs(F.col("m_a") - F.col("m_b")) <= r).filter(apart <= 2 * r)
-    turned = lambda rows: rows.toDF(*[{"a": "b", "b": "a"}.get(c, c) for c in rows.columns])
-    pairs = turned(turned(pairs.withColumn("one", fits)).withColumn("other", fits)).filter("one or other")
-    distance = F.when(F.col("head_a") == F.col("head_b"), F.expr("levenshtein(tail_a, tail_b, greatest(r_a, r_b))")).otherwise(F.expr("levenshtein(a, b, greatest(r_a, r_b))"))
-    pairs = pairs.select("a", "b", "r_a", "r_b", "one", "other", distance.alias("distance")).filter("distance >= 0")
-    way = lambda x, y, r, fit: F.when(F.col(fit) & (F.col("distance") <= F.col(r)), F.struct(F.col(x).alias("a"), F.col(y).alias("b"), "distance"))
-    return pairs.select(F.inline(F.array_compact(F.array(way("a", "b", "r_a", "one"), way("b", "a", "r_b", "other")))))
+    spark = keys.sparkSession
+    parts = spread_over(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))  # rows of two tiles are large
+    digits, radius = F.col("key").rlike("[0-9]"), F.greatest(F.lit(1), F.floor(F.length("mask") / 5)).cast("int")
+    keys = cut(keys.select("key").filter("key != ''").distinct().select("key", F.regexp_replace("key", "[0-9]", "0").alias("mask"), F.when(digits, digit_signature(F.col("key"))).otherwise(0).alias("sig")))
+    masks = keys.groupBy("mask").agg(F.count("*").alias("n")).select("mask", "n", F.replace("mask", F.lit("0"), F.lit("")).alias("stem"), radius.alias("r"), F.length("mask").alias("m"), F.ceil(F.col("n") / TOGETHER).cast("int").alias("shares"), F.regexp_extract("mask", "^[^0]*", 0).alias("head"), F.regexp_extract("mask", "[^0]*$", 0).alias("tail"))
+    masks = cut(masks)
+    near = cut(near_texts(masks.groupBy(F.col("stem").alias("text")).agg(F.max("r").alias("r"))))
+    side = lambda x: masks.select(F.col("mask").alias(x), F.col("stem").alias(f"stem_{x}"), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "r", "m", "head", "tail")])
+    pairs = side("x").join(near.toDF("stem_x", "stem_y"), "stem_x").join(side("y"), "stem_y").filter("x <= y and abs(m_x - m_y) <= greatest(r_x, r_y)")
+    pairs = pairs if of_masks is None else pairs.filter(of_masks)
+    inner = (F.col("head_x") == F.col("head_y")) & (F.col("tail_x") == F.col("tail_y")) & (F.col("stem_x") != F.col("x")) & (F.col("stem_y") != F.col("y"))
+    pairs = pairs.select("x", "y", F.greatest("r_x", "r_y").alias("r"), "r_x", "r_y", (F.col("n_x") * F.col("n_y")).alias("work"), F.when(inner, F.length("head_x")).otherwise(0).alias("first"), F.when(inner, F.length("tail_x")).otherwise(0).alias("last"))
+    pairs = cut(pairs.repartition(parts, "x", "y").mapInPandas(digit_room, "x string, y string, r int, r_x int, r_y int, work long, first int, last int, bits int"))
+    dealt = keys.join(masks.select("mask", "shares"), "mask").withColumn("share", F.pmod(F.xxhash64("key"), F.col("shares")).cast("int"))
+    tiles = cut(dealt.groupBy("mask", "share").agg(F.collect_list(F.struct("key", "sig")).alias("tile")))
+    tile = lambda x: tiles.select(F.col("mask").alias(x), F.col("share").alias(f"share_{x}"), F.col("tile.key").alias(f"keys_{x}"), F.col("tile.sig").alias(f"sigs_{x}"))
+    met = pairs.join(tile("x"), "x").join(tile("y"), "y").filter("x != y or share_x <= share_y")
+    work = pairs.agg(F.sum("work")).first()[0] or 0
+    met = met.repartition(min(MOST_TASKS, max(parts, -(-work // (4 * TOGETHER) ** 2))), "x", "y", "share_x", "share_y")
+    met = met.select("r_x", "r_y", "first", "last", "bits", F.expr("x = y and share_x = share_y").alias("same"), "keys_x", "sigs_x", "keys_y", "sigs_y")
+    found = met.mapInArrow(near_in_tiles, "a string, b string, distance int")
+    return found if which is None else found.filter(which)
 
 
 def prefix_distance(query: Column, key: Column) -> Column:

@@ -90,3 +90,24 @@ def test_a_list_of_block_pairs_takes_little_disk(spark, tmp_path):
     resolve.block_pairs(frame).write.parquet(f"file://{tmp_path}/pairs")
     assert spark.read.parquet(f"file://{tmp_path}/pairs").distinct().count() == 1500 * 1499 // 2
     assert sum(f.stat().st_size for f in (tmp_path / "pairs").iterdir()) < 0.5 * 1500 * 1499 // 2
+
+
+def test_near_pairs_are_measured_in_arrays(spark):
+    """No row of a pair is made that is not near, and none by a distance of Spark's own, which takes microseconds a pair."""
+    import random
+
+    import numpy as np
+    from test_names_and_rows import distance
+
+    rng = random.Random(11)
+    for m, n, letters in ((0, 3, "a"), (5, 4, "a1"), (8, 9, "ab12"), (16, 13, "ab"), (33, 40, "abc "), (64, 60, "ab"), (70, 66, "ab")):
+        x, y = [["".join(rng.choices(letters, k=k)) for _ in range(12)] for k in (m, n)]
+        i, j = np.divmod(np.arange(144), 12)
+        codes = [np.array([[ord(c) for c in t] for t in own], dtype=np.uint32).reshape(12, -1) for own in (x, y)]
+        assert resolve.distances(*codes, i, j).tolist() == [distance(x[p], y[q]) for p, q in zip(i, j)]
+    names = [f"{w} {rng.randrange(10**k)}" for w in ("blue anvil", "blue anvi", "red rod", "rod") for k in (2, 5, 6) for _ in range(9)]
+    keys = sorted({*names, *(f"{k} trustee of {k} trust" for k in names), "rod", "77", "7"})
+    found = resolve.near_pairs(spark.createDataFrame([(k,) for k in keys], "key string"))
+    assert "levenshtein" not in found._jdf.queryExecution().optimizedPlan().toString()
+    want = sorted((a, b, d) for a in keys for b in keys if a != b and abs(len(a) - len(b)) <= len(a) // 5 + 1 and (d := distance(a, b)) <= max(1, len(a) // 5))
+    assert rows(found) == want and len(want) > 500
