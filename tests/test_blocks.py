@@ -111,3 +111,12 @@ def test_near_pairs_are_measured_in_arrays(spark):
     assert "levenshtein" not in found._jdf.queryExecution().optimizedPlan().toString()
     want = sorted((a, b, d) for a in keys for b in keys if a != b and abs(len(a) - len(b)) <= len(a) // 5 + 1 and (d := distance(a, b)) <= max(1, len(a) // 5))
     assert rows(found) == want and len(want) > 500
+
+
+def test_missed_pairs_compare_no_keys_of_one_block(spark, monkeypatch):
+    """Masks that begin with the same letters are left out before their keys meet."""
+    met = []
+    monkeypatch.setattr(resolve, "near_pairs", lambda keys, which, of_masks: met.append(of_masks) or keys.selectExpr("key AS a", "key AS b"))
+    entry.queries()["missed_pairs"](spark, DIR)
+    masks = spark.createDataFrame([("red rod 00", "red ring 0"), ("red rod 00", "old rod 00"), ("re0", "re0"), ("re", "re"), ("", "a")], "x string, y string")
+    assert [r.m for r in masks.select(met[0].alias("m")).collect()] == [False, True, True, False, True]
