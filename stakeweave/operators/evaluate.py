@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from stakeweave.functions.names import token_match
-from stakeweave.plans.iterate import cut
+from stakeweave.plans.iterate import cut, some
 
 from . import resolve
 
@@ -66,7 +66,8 @@ def ablations(filed: DataFrame, pairs: DataFrame, configs: dict[str, dict] | Non
         own = dict(switches)
         capacity = own.pop("capacity", True)
         obs = seen[capacity] = seen.get(capacity) or resolve.observations(filed, capacity=capacity)
-        roots, _ = resolve.merged(obs, cut(resolve.merge_candidates(obs, **own)))
+        # without CINs no union is refused
+        roots, _ = resolve.merged(obs, cut(resolve.merge_candidates(obs, **own, components=not some(obs.filter("cin is not null")))))
         root = cut(obs.join(roots, ["entity_type", "key"]).select("raw", "filed_type", F.concat_ws("\u0001", "entity_type", "root").alias("root")))
         told = pairs.join(root.withColumnsRenamed({"raw": "a", "root": "root_a"}), ["a", "filed_type"]).join(root.withColumnsRenamed({"raw": "b", "root": "root_b"}), ["b", "filed_type"])
         result = scores(told.select("truth", (F.col("root_a") == F.col("root_b")).alias("found")))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
+from functools import partial, reduce
 
 import numpy as np
 import pandas as pd
@@ -113,10 +113,49 @@ def alike_pairs(keys: DataFrame, least: float) -> DataFrame:
     return pairs.filter("distance >= 0").filter(1 - F.col("distance") / F.col("longest") >= least).select("entity_type", "a", "b")
 
 
-def merge_candidates(obs: DataFrame, truncation: bool = True, fuzzy: bool = True, threshold: float = 0.8, token_guard: bool = True, key_threshold: float = 0.8) -> DataFrame:
+def alike_links(keys: DataFrame, least: float) -> DataFrame:
+    """Some of the alike_pairs, which join the same keys into the same components as all do: for each pair of tiles of keys a forest.
+
+    As in near_pairs, keys of near stems and of masks whose digits leave room meet tile by tile; what is joined already is not compared. A tile's keys are of one
+    type and begin with the same letters, as many as a block has.
+    """
+    spark = keys.sparkSession
+    parts = spread_over(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))  # rows of two tiles are large
+    errors = lambda size: F.floor(size * (1 - least) + 1e-6).cast("int")
+    group = ["entity_type", "start", "mask"]
+    keys = cut(keys.select("entity_type", "key").filter("entity_type is not null and key is not null").distinct().select("entity_type", "key", F.substring("key", 1, BLOCK).alias("start"), F.regexp_replace("key", "[0-9]", "0").alias("mask"), digit_signature(F.col("key")).alias("sig")))
+    masks = cut(keys.groupBy(*group).agg(F.count("*").alias("n")).select(*group, "n", F.replace("mask", F.lit("0"), F.lit("")).alias("stem"), F.length("mask").alias("m"), F.ceil(F.col("n") / TOGETHER).cast("int").alias("shares")))
+    near = cut(near_texts(masks.groupBy(F.col("stem").alias("text")).agg(F.max(F.greatest(F.lit(0), errors(F.col("m")))).alias("r"))))
+    tag = F.concat_ws("\u0001", "start", "mask")
+    side = lambda x: masks.select("entity_type", F.col("mask").alias(x), F.col("stem").alias(f"stem_{x}"), tag.alias(f"tag_{x}"), *[F.col(c).alias(f"{c}_{x}") for c in ("start", "n", "m")])
+    met = side("x").join(near.toDF("stem_x", "stem_y"), "stem_x").join(side("y"), ["entity_type", "stem_y"]).filter("tag_x <= tag_y")
+    short = lambda x, y: (F.length(x) < BLOCK) & F.startswith(y, x)
+    met = met.filter((F.col("start_x") == F.col("start_y")) | short(F.col("start_x"), F.col("start_y")) | short(F.col("start_y"), F.col("start_x")))
+    longest = F.greatest(F.lit(1), F.col("m_x"), F.col("m_y"))
+    r = errors(longest) - F.when(1 - errors(longest) / longest >= least, 0).otherwise(1)
+    pairs = met.withColumn("r", r).filter("r >= 0 and abs(m_x - m_y) <= r").select("entity_type", "tag_x", "tag_y", "x", "y", "r", (F.col("n_x") * F.col("n_y")).alias("work"))
+    pairs = cut(pairs.repartition(parts, "tag_x", "tag_y").mapInPandas(digit_room, "entity_type string, tag_x string, tag_y string, x string, y string, r int, work long, bits int"))
+    dealt = keys.join(masks.select(*group, "shares"), group).withColumn("share", F.pmod(F.xxhash64("key"), F.col("shares")).cast("int"))
+    tiles = cut(dealt.groupBy(*group, "share").agg(F.collect_list(F.struct("key", "sig")).alias("tile")))
+    tile = lambda x: tiles.select("entity_type", tag.alias(f"tag_{x}"), F.col("share").alias(f"share_{x}"), F.col("tile.key").alias(f"keys_{x}"), F.col("tile.sig").alias(f"sigs_{x}"))
+    tiled = pairs.join(tile("x"), ["entity_type", "tag_x"]).join(tile("y"), ["entity_type", "tag_y"]).filter("tag_x != tag_y or share_x <= share_y")
+    work = pairs.agg(F.sum("work")).first()[0] or 0
+    tiled = tiled.repartition(min(MOST_TASKS, max(parts, -(-work // (4 * TOGETHER) ** 2))), "entity_type", "tag_x", "tag_y", "share_x", "share_y")
+    whole = [F.col("r").alias("r_x"), F.lit(-1).alias("r_y"), F.lit(0).alias("first"), F.lit(0).alias("last"), "bits", F.expr("tag_x = tag_y and share_x = share_y").alias("same")]
+    out = []
+    for kind in [row[0] for row in masks.select("entity_type").distinct().collect()]:
+        own = tiled.filter(F.col("entity_type") == kind).select(*whole, "keys_x", "sigs_x", "keys_y", "sigs_y")
+        found = own.mapInArrow(partial(near_in_tiles, forest=True), "a string, b string, distance int")
+        out.append(found.select(F.lit(kind).alias("entity_type"), F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+    return reduce(DataFrame.unionByName, out) if out else keys.select("entity_type", F.col("key").alias("a"), F.col("key").alias("b"))
+
+
+def merge_candidates(obs: DataFrame, truncation: bool = True, fuzzy: bool = True, threshold: float = 0.8, token_guard: bool = True, key_threshold: float = 0.8, components: bool = False) -> DataFrame:
     """step (0 cin, 1 truncation, 2 fuzzy), entity_type, a, b: unions to try, in order of step, entity_type, a, b.
 
-    Without the token guard the fuzzy step compares whole keys of a block, by their similarity alone.
+    Without the token guard the fuzzy step compares whole keys of a block, by their similarity alone. Where only the `components` are asked
+    for, as no order of unions counts without CINs, not all of its pairs are made.
     """
     keys = obs.select("entity_type", "key").distinct()
     first = Window.partitionBy("cin", "entity_type")
@@ -125,7 +164,7 @@ def merge_candidates(obs: DataFrame, truncation: bool = True, fuzzy: bool = True
     if truncation:
         out = out.unionByName(truncation_pairs(keys).withColumn("step", F.lit(1)))
     if fuzzy:
-        pairs = fuzzy_pairs(keys, threshold) if token_guard else alike_pairs(keys, key_threshold)
+        pairs = fuzzy_pairs(keys, threshold) if token_guard else (alike_links if components else alike_pairs)(keys, key_threshold)
         out = out.unionByName(pairs.withColumn("step", F.lit(2)))
     return out
 
@@ -330,8 +369,27 @@ def distances(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.
     return found
 
 
-def near_in_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """a, b, distance, both ways, of the near keys of each row's two tiles; see near_pairs."""
+def joining(a: np.ndarray, b: np.ndarray, away: np.ndarray, sets: np.ndarray, beyond: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Those of the links a, b (b stands `beyond` further in sets) that join two sets, none twice, and the sets after them, by their least member's number."""
+    kept = [np.zeros(0, dtype=np.int64)]
+    open_ = np.arange(len(a))
+    while True:
+        low, high = np.sort([sets[a[open_]], sets[b[open_] + beyond]], axis=0)
+        open_, low, high = (v[low != high] for v in (open_, low, high))
+        if not len(open_):
+            kept = np.concatenate(kept)
+            return a[kept], b[kept], away[kept], sets
+        moved, which = np.unique(high, return_index=True)
+        into = np.arange(len(sets))
+        into[moved] = low[which]
+        while (further := into[into] != into).any():
+            into[further] = into[into[further]]
+        sets = into[sets]
+        kept.append(open_[which])
+
+
+def near_in_tiles(batches: Iterator[pa.RecordBatch], forest: bool = False) -> Iterator[pa.RecordBatch]:
+    """a, b, distance, both ways, of the near keys of each row's two tiles; see near_pairs. As a forest only as many of them as join what all of them do."""
     for batch in batches:
         for row in range(batch.num_rows):
             told = {c: batch.column(c)[row].as_py() for c in ("r_x", "r_y", "first", "last", "bits", "same")}
@@ -341,9 +399,9 @@ def near_in_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             for own in keys:
                 own = own.to_pylist()
                 m = len(own[0])
-                texts.append(np.array(own, dtype=f"U{m}").view(np.uint32).reshape(len(own), m)[:, told["first"] : m - told["last"]])
+                texts.append(np.array(own, dtype=f"U{max(1, m)}").view(np.uint32).reshape(len(own), -1)[:, :m][:, told["first"] : m - told["last"]])
             both, nx, ny = pa.concat_arrays(keys), len(keys[0]), len(keys[1])
-            step = max(1, AT_ONCE // ny)
+            step, sets = max(1, AT_ONCE // ny), np.arange(nx + ny)
             for low in range(0, nx, step):
                 fit = np.bitwise_count(sigs[0][low : low + step, None] ^ sigs[1][None, :]) <= told["bits"]
                 if told["same"]:
@@ -352,7 +410,13 @@ def near_in_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 i += low
                 for at in range(0, len(i), AT_ONCE // 8):
                     a, b = i[at : at + AT_ONCE // 8], j[at : at + AT_ONCE // 8]
+                    if forest:
+                        apart = sets[a] != sets[b + (0 if told["same"] else nx)]
+                        a, b = a[apart], b[apart]
                     away = distances(*texts, a, b)
+                    if forest:
+                        near = away <= told["r_x"]
+                        a, b, away, sets = joining(a[near], b[near], away[near], sets, 0 if told["same"] else nx)
                     to, back = away <= told["r_x"], away <= told["r_y"]
                     out = [np.concatenate([a[to], b[back] + nx]), np.concatenate([b[to] + nx, a[back]]), np.concatenate([away[to], away[back]]).astype(np.int32)]
                     if len(out[0]):

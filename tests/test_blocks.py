@@ -120,3 +120,32 @@ def test_missed_pairs_compare_no_keys_of_one_block(spark, monkeypatch):
     entry.queries()["missed_pairs"](spark, DIR)
     masks = spark.createDataFrame([("red rod 00", "red ring 0"), ("red rod 00", "old rod 00"), ("re0", "re0"), ("re", "re"), ("", "a")], "x string, y string")
     assert [r.m for r in masks.select(met[0].alias("m")).collect()] == [False, True, True, False, True]
+
+
+def test_links_of_whole_keys_join_what_all_pairs_join(spark):
+    import random
+
+    rng = random.Random(9)
+    keys = sorted({f"{w} {rng.randrange(10**k)}" for w in ("lantern", "lanterns", "lane", "quarry of", "7 lanes", "la") for k in (1, 4, 6) for _ in range(14)} | {"", "l", "la", "lan", "lant", "qu", "7", "7 7"})
+    frame = spark.createDataFrame([(t, k) for t in "xy" for k in keys[:: 1 if t == "x" else 3]], "entity_type string, key string")
+
+    def joined(pairs):
+        sets = {}
+        for t, a, b in pairs:
+            one = sets.get((t, a), {(t, a)}) | sets.get((t, b), {(t, b)})
+            sets |= dict.fromkeys(one, one)
+        return {frozenset(s) for s in map(frozenset, sets.values())}
+
+    for least in (0.8, 0.9):
+        links, pairs = rows(resolve.alike_links(frame, least)), rows(resolve.alike_pairs(frame, least))
+        assert set(links) <= set(pairs) and joined(links) == joined(pairs) and 20 < len(links) < len(pairs)
+
+
+def test_ablations_without_company_numbers_make_no_list_of_alike_pairs(spark, monkeypatch):
+    def refused(*args, **kwargs):
+        raise AssertionError("all alike pairs are made")
+
+    monkeypatch.setattr(resolve, "alike_pairs", refused)
+    filed = spark.createDataFrame([(n, "corporate", False) for n in ("Lantern Works 1", "Lantern Works 2", "Quarry 7")], "raw string, filed_type string, listed boolean")
+    pairs = spark.createDataFrame([("Lantern Works 1", "Lantern Works 2", "corporate", True)], "a string, b string, filed_type string, truth boolean")
+    assert evaluate.ablations(filed, pairs, {"whole": {"token_guard": False}}).select("entities", "tp").collect() == [(2, 1)]
